@@ -18,12 +18,24 @@ def vocab_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import languages
+
+    return languages(_table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import token_counts
 
     return token_counts(_table(spark, sf_dir, "documents"), vocab_file("word_bpe_49k.json"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -36,17 +48,47 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_table(spark, sf_dir, "documents"), vocab_file("byte_bpe_50k.json"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality
+
+    return quality(_table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import stored_documents
 
     return stored_documents(_table(spark, sf_dir, "documents"), vocab_file("word_bpe_49k.json"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_license_scan": op6_license_scan,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_decontaminate": op8_decontaminate,
     "op9_token_store": op9_token_store,
+    "op10_html_extract": op10_html_extract,
 }
 
 ORACLE_SQL: dict[str, str] = {}
