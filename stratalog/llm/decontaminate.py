@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import drop_ids, materialise
 
 #: Fixed masks: six words of windows of 6 to 10.
 SEEDS = ("111111", "11011011", "1101000111")
@@ -113,5 +113,4 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose document overlaps no item, with all their columns."""
-    bad = contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias("_contaminated"))
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_contaminated")), "left_anti")
+    return drop_ids(docs, overlaps(docs, items, id_col, text_col).select("doc_id"), id_col)

@@ -39,10 +39,9 @@ SPACES = " \t\n\x0b\x0c\r"
 FUNCTION_WORDS = "the of and to in is that for it was on with as be by at this are from or der die und den von das mit sich des ist im nicht ein eine als auch le la les de et des en un une du que qui dans pour est sur au par el los las del por con para se su".split()
 
 
-def text_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the counts that the rules look at, one row per row."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
+def _counted(df: DataFrame, text_col: str) -> DataFrame:
+    """row (all columns of `df`) and the counts, as columns of their own."""
+    rows = df.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.withColumn("words", F.filter(F.split("t", SPACE), lambda w: w != ""))
     rows = rows.withColumn("n_words", F.size("words").cast("long")).withColumn("bits", F.length(F.bin("n_words")))
     windows = F.expr(
@@ -64,8 +63,7 @@ def text_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def letters_left(without: str) -> Column:
         return F.length("t") - F.length(F.regexp_replace("t", without, ""))
 
-    return rows.select(
-        "doc_id",
+    counts = F.struct(
         "n_words",
         F.expr("aggregate(words, 0L, (a, w) -> a + length(w))").alias("word_chars"),
         letters_left("[#*$%&|<>]+").cast("long").alias("n_symbols"),
@@ -75,6 +73,15 @@ def text_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         function_words.cast("long").alias("n_function_words"),
         letters_left("[A-Z]+").cast("long").alias("n_capitals"),
     )
+    # A generator of one row: filters on the counts stay above it and do not copy their definitions.
+    return rows.select("row", F.inline(F.array(counts)))
+
+
+def text_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the counts that the rules look at, one row per row."""
+    own = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    counted = _counted(own, "text")
+    return counted.select(F.col("row.id").alias("doc_id"), *counted.columns[1:])
 
 
 def _vote(good: Column, bad: Column) -> Column:
@@ -143,15 +150,36 @@ def votes_to_posterior(model: tuple[float, list[float], list[float]], names: lis
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
-def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality for each row."""
-    names = list(rules())
-    counts = materialise(text_counts(df, id_col, text_col), "counts")
-    voted = counts.select("*", *[v.alias(f"vote_{name}") for name, v in rules().items()])
-    votes = [f"vote_{name}" for name in names]
-    # At most 3 ** len(names) rows.
-    patterns = [(tuple(r[v] for v in votes), r["n"]) for r in voted.groupBy(*votes).agg(F.count(F.lit(1)).alias("n")).orderBy(*votes).collect()]
-    model = fit(patterns) if patterns else (0.0, [0.0] * len(names), [0.0] * len(names))
+def _voted(counts: DataFrame) -> tuple[DataFrame, list[str]]:
+    votes = {f"vote_{name}": v for name, v in rules().items()}
+    return counts.select("*", *[v.alias(name) for name, v in votes.items()]), list(votes)
+
+
+def learn(voted: DataFrame, votes: list[str]) -> tuple[float, list[float], list[float]]:
+    """EM over the vote patterns of a table, of which there are at most 3 ** len(votes)."""
+    patterns = voted.groupBy(*votes).agg(F.count(F.lit(1)).alias("n")).orderBy(*votes).collect()
+    return fit([(tuple(r[v] for v in votes), r["n"]) for r in patterns]) if patterns else (0.0, [0.0] * len(votes), [0.0] * len(votes))
+
+
+def _judged(voted: DataFrame, votes: list[str], model: tuple[float, list[float], list[float]]) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = voted.withColumn("quality", votes_to_posterior(model, votes)).withColumn("base_failed", failed)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("quality") >= KEEP)).alias("kept"), "quality")
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP))
+
+
+def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality for each row."""
+    voted, votes = _voted(materialise(text_counts(df, id_col, text_col), "counts"))
+    return _judged(voted, votes, learn(voted, votes)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def kept_rows(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of `df` that are kept, with all their columns.
+
+    One pass for the votes and one that counts again and filters, both narrow:
+    no text is shuffled or written to be filtered.
+    """
+    voted, votes = _voted(text_counts(df.withColumn("_none", F.lit(0)), "_none", text_col))
+    model = learn(voted, votes)
+    again, votes = _voted(_counted(df, text_col))
+    return _judged(again, votes, model).filter("kept").select("row.*")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import drop_ids, materialise
 
 BITS = 64
 SHINGLE_WORDS = 4
@@ -276,3 +276,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked_fps = materialise(named.join(names, "root").select("fp", "component_id"), "components")
     classes = distinct.join(linked_fps, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return docs.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: the one with the least id (of rows that share it, one).
+
+    Only ids are joined; rows are shuffled only where an id is on several rows.
+    """
+    found = materialise(near_duplicates(df, id_col, text_col), "classes")
+    rest = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    kept = drop_ids(df, rest, id_col)
+    shared = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if shared.isEmpty():
+        return kept
+    shared = materialise(shared, "shared").withColumnRenamed("doc_id", "_shared")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_shared"))
+    return kept.join(shared, same, "left_anti").unionByName(kept.join(shared, same, "left_semi").dropDuplicates([id_col]))

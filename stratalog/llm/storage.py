@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LOCAL_FOLDER = "file:///tmp/checkpoints"
 
@@ -34,3 +35,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Ids that may be broadcast: 8 bytes each, so 16 MB before hashing.
+BROADCAST_IDS = 2_000_000
+
+
+def drop_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of `df` whose id is not in the one column of `ids`, with all their columns.
+
+    The ids are counted; up to `BROADCAST_IDS` they are broadcast and `df` is
+    not shuffled, beyond that both sides are.
+    """
+    gone = materialise(ids.toDF("_gone").distinct(), "ids")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge")
+    return df.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
