@@ -105,7 +105,8 @@ def cost(files: DataFrame, prices: dict[str, float], now, rules: list[tuple[int,
 
 def parity(files: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows counted by metadata and by scan, and their difference in percent."""
-    a = files.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("manifest"))
-    b = rows.agg(F.count(F.lit(1)).alias("scanned"))
-    both = a.crossJoin(b)  # one row each
+    none = F.lit(0).cast("long")
+    a = files.agg(F.coalesce(F.sum("rows"), none).alias("manifest"), none.alias("scanned"))
+    b = rows.agg(none.alias("manifest"), F.count(F.lit(1)).alias("scanned"))
+    both = a.unionByName(b).agg(F.sum("manifest").alias("manifest"), F.sum("scanned").alias("scanned"))
     return both.select("manifest", "scanned", F.when(F.col("scanned") == 0, F.lit(0.0)).otherwise(F.abs(F.col("manifest") - F.col("scanned")) * 100.0 / F.nullif(F.col("scanned"), F.lit(0))).alias("drift_percent"))

@@ -146,8 +146,8 @@ def promote(df: DataFrame, attributes: str, names: list[str]) -> DataFrame:
 
 def with_recent(flushed: DataFrame, recent: DataFrame, time: str = "timestamp_unix_nano") -> DataFrame:
     """Stored rows and buffered rows after the newest stored one, without either twice."""
-    mark = flushed.agg(F.max(time).alias("_mark"))
-    later = recent.crossJoin(F.broadcast(mark)).filter(F.col("_mark").isNull() | (F.col(time) > F.col("_mark"))).drop("_mark")  # one row
+    mark = flushed.agg(F.max(time)).scalar()
+    later = recent.filter(mark.isNull() | (F.col(time) > mark))
     return flushed.unionByName(later, allowMissingColumns=True)
 
 
