@@ -23,13 +23,15 @@ learned from: `DOCS` documents per language and `CHARS` symbols of sample.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import text_batches
+from .vocab import resident
+
 UNDECIDED = "und"
 #: Labelled documents sampled per language, and the letters kept of each and of all.
 DOCS, DOC_CHARS, CHARS = 48, 2_000, 24_000
@@ -181,9 +183,8 @@ class CrossParser:
         return names, scores
 
 
-@lru_cache(maxsize=2)
 def parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
-    return CrossParser(samples)
+    return resident(("language", samples), lambda: CrossParser(samples))
 
 
 def learn(df: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[tuple[str, str], ...]:
@@ -217,6 +218,7 @@ def identify(df: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str =
                 names, scores = p.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
+    text_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 

@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import drop_rows, materialise
 
 KEEP = 0.5
 WINDOW = 3
@@ -39,9 +39,10 @@ SPACES = " \t\n\x0b\x0c\r"
 FUNCTION_WORDS = "the of and to in is that for it was on with as be by at this are from or der die und den von das mit sich des ist im nicht ein eine als auch le la les de et des en un une du que qui dans pour est sur au par el los las del por con para se su".split()
 
 
-def _counted(df: DataFrame, text_col: str) -> DataFrame:
-    """row (all columns of `df`) and the counts, as columns of their own."""
-    rows = df.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+def text_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash and the counts that the rules look at, one row per row."""
+    text = F.col(text_col)
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.coalesce(text, F.lit("")).alias("t"))
     rows = rows.withColumn("words", F.filter(F.split("t", SPACE), lambda w: w != ""))
     rows = rows.withColumn("n_words", F.size("words").cast("long")).withColumn("bits", F.length(F.bin("n_words")))
     windows = F.expr(
@@ -63,7 +64,9 @@ def _counted(df: DataFrame, text_col: str) -> DataFrame:
     def letters_left(without: str) -> Column:
         return F.length("t") - F.length(F.regexp_replace("t", without, ""))
 
-    counts = F.struct(
+    return rows.select(
+        "doc_id",
+        "text_hash",
         "n_words",
         F.expr("aggregate(words, 0L, (a, w) -> a + length(w))").alias("word_chars"),
         letters_left("[#*$%&|<>]+").cast("long").alias("n_symbols"),
@@ -73,15 +76,6 @@ def _counted(df: DataFrame, text_col: str) -> DataFrame:
         function_words.cast("long").alias("n_function_words"),
         letters_left("[A-Z]+").cast("long").alias("n_capitals"),
     )
-    # A generator of one row: filters on the counts stay above it and do not copy their definitions.
-    return rows.select("row", F.inline(F.array(counts)))
-
-
-def text_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the counts that the rules look at, one row per row."""
-    own = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    counted = _counted(own, "text")
-    return counted.select(F.col("row.id").alias("doc_id"), *counted.columns[1:])
 
 
 def _vote(good: Column, bad: Column) -> Column:
@@ -173,13 +167,13 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return _judged(voted, votes, learn(voted, votes)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-def kept_rows(df: DataFrame, text_col: str = "text") -> DataFrame:
+def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `df` that are kept, with all their columns.
 
-    One pass for the votes and one that counts again and filters, both narrow:
-    no text is shuffled or written to be filtered.
+    Rejected rows are named by id and hash of the text, so rows that share an
+    id are judged each by its own text; the texts themselves are not shuffled
+    while the names can be broadcast.
     """
-    voted, votes = _voted(text_counts(df.withColumn("_none", F.lit(0)), "_none", text_col))
-    model = learn(voted, votes)
-    again, votes = _voted(_counted(df, text_col))
-    return _judged(again, votes, model).filter("kept").select("row.*")
+    voted, votes = _voted(materialise(text_counts(df, id_col, text_col), "counts"))
+    rejected = _judged(voted, votes, learn(voted, votes)).filter("not kept").select("doc_id", "text_hash")
+    return drop_rows(df, rejected, [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))])

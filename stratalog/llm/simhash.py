@@ -38,7 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import drop_ids, materialise
+from .storage import drop_ids, materialise, text_batches
+from .vocab import resident
 
 BITS = 64
 SHINGLE_WORDS = 4
@@ -76,10 +77,12 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, fp (the fingerprint's bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("simhash", lambda: None)
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
+    text_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 

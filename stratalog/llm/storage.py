@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_FOLDER = "file:///tmp/checkpoints"
@@ -37,16 +37,34 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Ids that may be broadcast: 8 bytes each, so 16 MB before hashing.
+#: Rows of keys that may be broadcast: 8 or 16 bytes each, so 32 MB before hashing.
 BROADCAST_IDS = 2_000_000
+#: Rows handed to Python at a time; Spark's default suits short rows, not texts.
+TEXT_ROWS = 1_000
 
 
-def drop_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of `df` whose id is not in the one column of `ids`, with all their columns.
+def text_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it already asks for some number of rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
+def drop_rows(df: DataFrame, gone: DataFrame, keys: list[Column]) -> DataFrame:
+    """The rows of `df` whose keys are not a row of `gone`, with all their columns; nulls are equal.
 
-    The ids are counted; up to `BROADCAST_IDS` they are broadcast and `df` is
-    not shuffled, beyond that both sides are.
+    The rows of `gone` are counted; up to `BROADCAST_IDS` they are broadcast
+    and `df` is not shuffled, beyond that both sides are.
     """
-    gone = materialise(ids.toDF("_gone").distinct(), "ids")
+    names = [f"_gone{k}" for k in range(len(keys))]
+    gone = materialise(gone.toDF(*names).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge")
-    return df.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    test = keys[0].eqNullSafe(F.col(names[0]))
+    for key, name in zip(keys[1:], names[1:]):
+        test = test & key.eqNullSafe(F.col(name))
+    return df.join(gone, test, "left_anti")
+
+
+def drop_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of `df` whose id is not in the one column of `ids`."""
+    return drop_rows(df, ids, [F.col(id_col).cast("long")])

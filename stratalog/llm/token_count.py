@@ -15,14 +15,14 @@ other columns of the input are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vocab import Vocabulary, WordTable, vocabulary
+from .storage import text_batches
+from .vocab import Vocabulary, WordTable, resident, vocabulary
 
 #: Documents above this many tokens are flagged.
 TOKEN_LIMIT = 2048
@@ -70,9 +70,8 @@ class MergeCounter:
         return sum(len(words) if special else sum(map(at, words)) for special, words in self.vocab.pieces(text))
 
 
-@lru_cache(maxsize=4)
 def counter(path: str) -> MergeCounter:
-    return MergeCounter(vocabulary(path))
+    return resident(("count", path), lambda: MergeCounter(vocabulary(path)))
 
 
 def token_counts(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = TOKEN_LIMIT) -> DataFrame:
@@ -84,6 +83,7 @@ def token_counts(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_co
             n = [count(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
+    text_batches(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -91,6 +91,20 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+_resident: dict = {}
+
+
+def resident(key: object, make: Callable[[], object]):
+    """What `make` gives, kept while this process works for one operator; another operator's takes its place.
+
+    Python workers outlive a stage, so what each stage remembers would add up.
+    """
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
 class WordTable(dict):
     """What `make` gives for a word.
 
