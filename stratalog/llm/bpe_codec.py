@@ -25,13 +25,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vocab import Vocabulary, WordTable, vocabulary
+from .storage import text_batches
+from .vocab import Vocabulary, WordTable, resident, vocabulary
 
 #: The rank of a byte: before every merge.
 BYTE = -1
@@ -48,7 +48,6 @@ class TokenAutomaton:
         byte_of = {letter: bytes([b]) for b, letter in enumerate(vocab.letters)}
         self.special = vocab.special
         self.labels: dict[int, bytes] = {i: b"".join(map(byte_of.__getitem__, s)) for s, i in vocab.ids.items() if s not in self.special}
-        self.by_label: dict[bytes, int] = {label: i for i, label in self.labels.items()}
         self.labels |= {i: s.encode() for s, i in self.special.items()}
         # Per token: the rank of the gadget that made its state, and the arcs it was made of.
         self.birth = {i: BYTE for i, label in self.labels.items() if len(label) == 1}
@@ -57,8 +56,20 @@ class TokenAutomaton:
         self.taken: dict[tuple[int, int], int] = {}
         for rank, (left, right) in enumerate(vocab.merges):
             self._gadget(rank, vocab.ids[left], vocab.ids[right], vocab.ids[left + right])
-        self.longest = max(map(len, self.by_label), default=1)
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.size = {i: len(label) for i, label in self.labels.items()}
+        # The labels of all tokens with a state, as a table from (node, byte) to node.
+        self.step: dict[int, int] = {}
+        self.ends_in = [-1]
+        for i in self.birth:
+            node = 0
+            for byte in self.labels[i]:
+                key = node << 8 | byte
+                if key not in self.step:
+                    self.step[key] = len(self.ends_in)
+                    self.ends_in.append(-1)
+                node = self.step[key]
+            self.ends_in[node] = i
+        self.arcs: dict[int, bool] = {}
         self.table = WordTable(self._word)
 
     def _gadget(self, rank: int, a: int, b: int, ab: int) -> None:
@@ -67,53 +78,61 @@ class TokenAutomaton:
         if ab not in self.birth:
             self.birth[ab], self.first[ab], self.second[ab] = rank, a, b
 
-    def has_arc(self, u: int, v: int) -> bool:
+    def _arc(self, u: int, v: int) -> bool:
         """Whether the state behind token u has a v-arc after all gadgets.
 
         Undoes gadgets from the last on: whichever of u and v is younger was
         made by a gadget that copied an older state or arc, whose arcs held
         until then.
         """
-        key = (u, v)
-        known = self.arcs.get(key)
-        if known is not None:
-            return known
         birth, taken, until, own_end = self.birth, self.taken, NEVER, False
         while True:
             rank = taken.get((u, v), NEVER)
             if rank < until or own_end and rank == until:
-                ok = False
-                break
+                return False
             bu, bv = birth[u], birth[v]
             if bu == bv == BYTE:
-                ok = True
-                break
+                return True
             if bu > bv:
                 u, until, own_end = self.second[u], bu, False
             else:  # a gadget on a pair of equal tokens pairs them up from the left
                 v, until, own_end = self.first[v], bv, True
-        if len(self.arcs) >= ARC_LIMIT:
-            self.arcs.clear()
-        self.arcs[key] = ok
-        return ok
 
     def word_ids(self, word: bytes) -> list[int]:
-        """The labels of the accepted path of a word."""
-        n, by_label, longest, has_arc = len(word), self.by_label, self.longest, self.has_arc
-        last = [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                v = by_label.get(word[start:end])
-                if v is not None and v in self.birth and (not start or last[start] >= 0 and has_arc(last[start], v)):
-                    last[end] = v
+        """The labels of the accepted path of a word.
+
+        From each offset in turn the label table is walked over the bytes that
+        follow; a label that ends where no accepted path ended yet is taken if
+        the state here has its arc.
+        """
+        n, step, ends_in, arcs = len(word), self.step, self.ends_in, self.arcs
+        last = [-1] * n
+        here = -1
+        for start in range(n):
+            node = 0
+            for end in range(start, n):
+                node = step.get(node << 8 | word[end])
+                if node is None:
                     break
-            else:
-                last[end] = -1
-        out, end = [], n
-        while end:
+                v = ends_in[node]
+                if v >= 0 and last[end] < 0:
+                    if start:
+                        key = here << 20 | v
+                        ok = arcs.get(key)
+                        if ok is None:
+                            if len(arcs) >= ARC_LIMIT:
+                                arcs.clear()
+                            ok = arcs[key] = self._arc(here, v)
+                        if not ok:
+                            continue
+                    last[end] = v
+            here = last[start]
+        out, end, size = [], n - 1, self.size
+        while end >= 0:
             out.append(last[end])
-            end -= len(self.labels[last[end]])
-        return out[::-1]
+            end -= size[last[end]]
+        out.reverse()
+        return out
 
     def _word(self, word: str) -> tuple[int, str, bytes]:
         ids = self.word_ids(word.encode("utf-8"))
@@ -138,9 +157,8 @@ class TokenAutomaton:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def automaton(path: str) -> TokenAutomaton:
-    return TokenAutomaton(vocabulary(path))
+    return resident(("automaton", path), lambda: TokenAutomaton(vocabulary(path)))
 
 
 def encode_documents(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,6 +171,7 @@ def encode_documents(df: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
             back = [auto.decode(x) for x in ids]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], ["doc_id", "ids", "decoded"])
 
+    text_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -171,5 +190,6 @@ def encode_digests(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
                 text_digests.append(hashlib.sha256(b"".join(labels).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    text_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
