@@ -8,7 +8,8 @@ shard of two files, written by one task:
   than 65,536 ids), each document closed by the end id;
 * `<shard>.idx`: a minimal perfect hash index over the document keys.  A key
   is hashed into a bucket; the bucket's seed sends each of its keys to a slot
-  of its own among exactly as many slots as there are keys.  A slot holds the
+  of its own among exactly as many slots as there are keys (a lone key's seed
+  is its slot).  A slot holds the
   key's 64-bit fingerprint, its place in key order, and the offset and length
   of its ids.  A lookup reads one seed and one slot, whatever the shard's size;
   the fingerprint turns away keys that are not in it.
@@ -30,7 +31,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import new_path
-from .vocab import WordTable, vocabulary
+from .storage import new_path, text_batches
+from .vocab import WordTable, resident, vocabulary
 
 MAGIC = b"SLTOKID1"
 HEADER = struct.Struct("<8sIIQQ")  # magic, id width, buckets, slots, documents
@@ -48,6 +48,11 @@ SLOT = np.dtype([("print", "<u8"), ("place", "<u4"), ("count", "<u4")])
 SPAN = np.dtype([("key", "<i8"), ("null", "u1"), ("start", "<u8"), ("n", "<u8")])
 #: Keys per bucket of the index, on average.
 BUCKET_KEYS = 4
+#: Seeds tried at once, and the bit that marks a seed as a slot.
+SEED_BLOCK = 128
+DIRECT = np.uint32(1 << 31)
+#: Words in one generation of what a process remembers of the library's answers.
+WORDS = 400_000
 #: The id that closes a document.
 END_ID = 1
 
@@ -62,10 +67,14 @@ class Encoder:
         self.vocab = vocabulary(path)
         top = max(max(self.vocab.ids.values()), *self.vocab.special.values(), END_ID)
         self.kind = np.dtype("<u2") if top < 1 << 16 else np.dtype("<u4")
-        self.table = WordTable(self._word)
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.table = WordTable(self._word, WORDS)
 
     def _word(self, word: str) -> bytes:
-        return np.asarray(self.library.encode(word, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        # The library's model, on a word that is folded and split off already.
+        letters = self.vocab.letters
+        found = [t.id for t in self.library.model.tokenize("".join([letters[b] for b in word.encode()]))]
+        return struct.pack(f"<{len(found)}{self.code}", *found)
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text without an end id."""
@@ -73,9 +82,8 @@ class Encoder:
         return b"".join([np.asarray([self.vocab.special[w[0]]], dtype=self.kind).tobytes() if special else b"".join(map(at, w)) for special, w in self.vocab.pieces(text)])
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return resident(("encoder", path), lambda: Encoder(path))
 
 
 def key_hashes(keys: list[int | None]) -> np.ndarray:
@@ -83,17 +91,20 @@ def key_hashes(keys: list[int | None]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b"" if k is None else int(k).to_bytes(8, "little", signed=True), 7) for k in keys], dtype=np.uint64)
 
 
-def mixed(prints: np.ndarray, seed: int) -> np.ndarray:
-    """Fingerprints hashed again under a seed (the splitmix64 finaliser)."""
+def mixed(prints: np.ndarray, seeds: np.ndarray | int) -> np.ndarray:
+    """Fingerprints hashed again under seeds (the splitmix64 finaliser); shapes broadcast."""
     with np.errstate(over="ignore"):
-        x = prints + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF)
+        x = prints + np.asarray(seeds, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
 
 
 def perfect_hash(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(seed of each bucket, slot of each key) for distinct fingerprints: hash, displace, largest bucket first."""
+    """(seed of each bucket, slot of each key) for distinct fingerprints: hash, displace, largest bucket first.
+
+    A bucket of one key needs no search: its seed names a free slot outright.
+    """
     n = len(prints)
     buckets = max(1, -(-n // BUCKET_KEYS))
     seeds = np.zeros(buckets, dtype=np.uint32)
@@ -105,27 +116,36 @@ def perfect_hash(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bounds = np.searchsorted(at[order], np.arange(buckets + 1))
     free = np.ones(n, dtype=bool)
     sizes = np.diff(bounds)
-    for b in np.argsort(-sizes, kind="stable"):
-        if not sizes[b]:
+    for b in np.argsort(-sizes, kind="stable").tolist():
+        if sizes[b] < 2:
             break
         members = order[bounds[b] : bounds[b + 1]]
-        own = prints[members]
-        seed = 1
+        own, seed = prints[members], 1
         while True:
             # A block of seeds at a time; the first that puts every key on a free slot of its own wins.
-            block = np.stack([(mixed(own, s) % np.uint64(n)).astype(np.int64) for s in range(seed, seed + 64)])
+            block = (mixed(own[None, :], np.arange(seed, seed + SEED_BLOCK)[:, None]) % np.uint64(n)).astype(np.int64)
             ok = free[block].all(axis=1)
-            if len(members) > 1:
-                ok &= (np.diff(np.sort(block, axis=1), axis=1) > 0).all(axis=1)
+            ok[ok] = (np.diff(np.sort(block[ok], axis=1), axis=1) > 0).all(axis=1)
             if ok.any():
                 k = int(np.argmax(ok))
                 seeds[b], slots[members] = seed + k, block[k]
                 free[block[k]] = False
                 break
-            seed += 64
+            seed += SEED_BLOCK
+    single = np.flatnonzero(sizes == 1)
+    rest = np.flatnonzero(free)
+    slots[order[bounds[single]]] = rest
+    seeds[single] = DIRECT | rest.astype(np.uint32)
     return seeds, slots
 
 
+def slot_of(prints: np.ndarray, seeds: np.ndarray, n: int) -> np.ndarray:
+    """The slot of each fingerprint under an index of `n` slots."""
+    own = seeds[(mixed(prints, 0) % np.uint64(len(seeds))).astype(np.int64)]
+    hashed = (mixed(prints, own) % np.uint64(n)).astype(np.int64)
+    return np.where(own & DIRECT, (own & ~DIRECT).astype(np.int64), hashed)
+
+
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a shared folder's URI and the path in it."""
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
@@ -167,8 +187,7 @@ class Shard:
         if not len(self.slots):
             return self.spans[:0]
         p = key_hashes([key])
-        bucket = int(mixed(p, 0)[0] % np.uint64(len(self.seeds)))
-        slot = self.slots[int(mixed(p, int(self.seeds[bucket]))[0] % np.uint64(len(self.slots)))]
+        slot = self.slots[slot_of(p, self.seeds, len(self.slots))[0]]
         return self.spans[slot["place"] : slot["place"] + slot["count"]] if slot["print"] == p[0] else self.spans[:0]
 
     def ids(self, key: int | None) -> list[np.ndarray]:
@@ -188,6 +207,7 @@ def write_shards(df: DataFrame, folder: str, vocab_path: str, id_col: str = "doc
     The range shuffle spreads a heavily repeated key by its text's hash.
     """
     rows = df.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    text_batches(df.sparkSession)
     ranged = rows.repartitionByRange(shards, "k", "h") if shards else rows.repartitionByRange("k", "h")
     ranged = ranged.sortWithinPartitions("k", "h").select(F.spark_partition_id().alias("p"), "k", "t")
 

@@ -89,6 +89,7 @@ def test_perfect_hash_is_minimal_and_perfect():
         prints = token_store.key_hashes(list(range(n)))
         seeds, slots = token_store.perfect_hash(prints)
         assert sorted(slots.tolist()) == list(range(n))
+        assert n == 0 or token_store.slot_of(prints, seeds, n).tolist() == slots.tolist()
         assert len(seeds) == max(1, -(-n // token_store.BUCKET_KEYS))
 
 
