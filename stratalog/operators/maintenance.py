@@ -54,6 +54,15 @@ def estimate(files: DataFrame, tombstone: Tombstone, klass: Column) -> DataFrame
     return hit.groupBy(klass.alias("class")).agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
 
 
+def rewrites_due(files: DataFrame, tombstones: list[tuple[Tombstone, datetime]], klass: Column, classes: list[str], delay_seconds: float, now: datetime) -> DataFrame:
+    """Files that permanent deletes older than the delay touch, in storage classes that may be rewritten."""
+    touched = F.lit(False)
+    for t, made in tombstones:
+        if t.mode != "hide" and (now - made).total_seconds() >= delay_seconds:
+            touched = touched | ((F.col("max_time") >= t.start) & (F.col("min_time") <= t.end))
+    return files.filter(touched & klass.isin(classes))
+
+
 def coverage(tombstones: list[Tombstone], start: datetime, end: datetime) -> float:
     """Share of [start, end] that tombstones cover; overlapping ones count once."""
     spans = sorted((max(t.start, start), min(t.end, end)) for t in tombstones if t.end > start and t.start < end)

@@ -110,3 +110,42 @@ def parity(files: DataFrame, rows: DataFrame) -> DataFrame:
     b = rows.agg(none.alias("manifest"), F.count(F.lit(1)).alias("scanned"))
     both = a.unionByName(b).agg(F.sum("manifest").alias("manifest"), F.sum("scanned").alias("scanned"))
     return both.select("manifest", "scanned", F.when(F.col("scanned") == 0, F.lit(0.0)).otherwise(F.abs(F.col("manifest") - F.col("scanned")) * 100.0 / F.nullif(F.col("scanned"), F.lit(0))).alias("drift_percent"))
+
+
+def catalog(rows: DataFrame, fields: list[str], max_values: int = 10_000) -> DataFrame:
+    """dt, field, value, hits: the values of each day.  Fields with more distinct values than that are left out (ids belong in a search, not in a catalog)."""
+    day = F.date_format("_time", "yyyy-MM-dd").alias("dt")
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), resolve(rows, f).text.alias("value")) for f in fields])
+    counted = rows.select(day, F.inline(pairs)).filter("value <> ''").groupBy("dt", "field", "value").agg(F.count(F.lit(1)).alias("hits"))
+    few = counted.groupBy("field").agg(F.count_distinct("value").alias("n")).filter(F.col("n") <= max_values).select("field")
+    return counted.join(few, "field", "left_semi").select("dt", "field", "value", "hits")
+
+
+def catalog_values(catalog_rows: DataFrame, field: str, contains: str = "", limit: int | None = None) -> DataFrame:
+    """value, hits over all days of a catalog."""
+    own = catalog_rows.filter(F.col("field") == field)
+    own = own.filter(F.contains("value", F.lit(contains))) if contains else own
+    out = own.groupBy("value").agg(F.sum("hits").alias("hits"))
+    return out.orderBy(F.desc("hits"), "value").limit(limit) if limit is not None else out
+
+
+def files_with_label(files: DataFrame, catalog_rows: DataFrame, field: str, value: str) -> DataFrame:
+    """Files of days on which a value occurs: a semi join with the catalog."""
+    days = catalog_rows.filter((F.col("field") == field) & (F.col("value") == value)).select("dt").distinct()
+    return files.join(days, "dt", "left_semi")
+
+
+def files_containing(files: DataFrame, low: str, high: str, value) -> DataFrame:
+    """Files whose [low, high] columns may contain a value."""
+    return files.filter(F.lit(value).between(F.col(low), F.col(high)))
+
+
+def field_bytes(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """field, bytes: of each field's text, before compression."""
+    sums = rows.agg(*[F.coalesce(F.sum(F.octet_length(resolve(rows, f).text).cast("long")), F.lit(0)).alias(f"c{k}") for k, f in enumerate(fields)])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"c{k}").alias("bytes")) for k, f in enumerate(fields)])))
+
+
+def compaction_stats(files: DataFrame) -> DataFrame:
+    """level, files, rows, bytes, mean_bytes."""
+    return files.groupBy("level").agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.avg("bytes").alias("mean_bytes"))

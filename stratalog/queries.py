@@ -361,6 +361,16 @@ register("m12e_compression", "SELECT sum(strlen(_msg)) AS raw_bytes, sum(length(
 ORACLE_SQL["m12e_compression"] = ORACLE_SQL["m12e_compression"].replace("sum(strlen(_msg)) AS raw_bytes", "CAST(sum(strlen(_msg)) AS DOUBLE) AS raw_bytes").replace("sum(length(level)) AS stored_bytes", "CAST(sum(length(level)) AS DOUBLE) AS stored_bytes")
 register("m12f_cardinality", "SELECT 'level' AS field, count(DISTINCT level) AS distinct_values FROM logs UNION ALL SELECT 'user_id', count(DISTINCT user_id) FROM logs")(lambda s, d: md.cardinality(views.logs(s, d), ["level", "user_id"], exact=True).withColumnRenamed("distinct", "distinct_values"))
 register("m12h_breakdown", "SELECT service AS value, count(*) AS rows, CAST(sum(strlen(_msg)) AS BIGINT) AS bytes FROM logs GROUP BY 1")(lambda s, d: md.breakdown(views.logs(s, d), "service.name"))
+_CATALOG = LOGS + ", cat AS (SELECT strftime(_time, '%Y-%m-%d') AS dt, 'level' AS field, level AS value, count(*) AS hits FROM logs GROUP BY 1, 3 UNION ALL SELECT strftime(_time, '%Y-%m-%d'), 'service.name', service, count(*) FROM logs GROUP BY 1, 3)"
+_catalog = lambda s, d: md.catalog(views.logs(s, d), ["level", "service.name", "event_id"], 50)
+register("m14_catalog", "SELECT dt, field, value, hits FROM cat", _CATALOG)(_catalog)
+register("m14_catalog_values", "SELECT value, CAST(sum(hits) AS BIGINT) AS hits FROM cat WHERE field = 'level' AND contains(value, 'i') GROUP BY 1", _CATALOG)(lambda s, d: md.catalog_values(_catalog(s, d), "level", "i"))
+register("u3_values_union", "SELECT DISTINCT value FROM cat WHERE field = 'service.name'", _CATALOG)(lambda s, d: _catalog(s, d).filter("field = 'service.name' and dt < '2024-01-10'").select("value").union(_catalog(s, d).filter("field = 'service.name' and dt >= '2024-01-10'").select("value")).distinct())
+register("j9_label_files", "SELECT strftime(_time, '%Y-%m-%d') AS dt, hour(_time) AS hour FROM logs GROUP BY 1, 2 HAVING strftime(any_value(_time), '%Y-%m-%d') IN (SELECT strftime(_time, '%Y-%m-%d') FROM logs WHERE level = 'signup')")(lambda s, d: md.files_with_label(views.files(s, d), md.catalog(views.logs(s, d), ["level"]), "level", "signup").select("dt", "hour"))
+register("m16_bounds", "SELECT strftime(_time, '%Y-%m-%d') AS dt FROM logs GROUP BY 1 HAVING 42 BETWEEN min(user_id) AND max(user_id)")(lambda s, d: md.files_containing(views.logs(s, d).groupBy(F.date_format("_time", "yyyy-MM-dd").alias("dt")).agg(F.min("user_id").alias("a"), F.max("user_id").alias("b")), "a", "b", 42).select("dt"))
+register("m12g_field_bytes", "SELECT 'level' AS field, CAST(sum(strlen(level)) AS BIGINT) AS bytes FROM logs UNION ALL SELECT '_msg', CAST(sum(strlen(_msg)) AS BIGINT) FROM logs")(lambda s, d: md.field_bytes(views.logs(s, d), ["level", "_msg"]))
+register("m12i_compaction", "SELECT hour % 3 AS level, count(*) AS files, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(bytes) AS BIGINT) AS bytes, round(avg(bytes), 6) AS mean_bytes FROM files GROUP BY 1", _FILES)(lambda s, d: rounded(mean_bytes=6)(md.compaction_stats(views.files(s, d).withColumn("level", (F.col("hour") % 3).cast("long")))))
+register("d6_rewrites_due", "SELECT dt, hour FROM files WHERE max_time >= TIMESTAMP '2024-01-05' AND min_time <= TIMESTAMP '2024-01-15' AND dt >= '2024-01-10'", _FILES)(lambda s, d: mt.rewrites_due(views.files(s, d), [(mt.Tombstone("*", datetime(2024, 1, 5), datetime(2024, 1, 15), "permanent"), datetime(2024, 1, 20)), (mt.Tombstone("*", datetime(2024, 1, 1), datetime(2024, 1, 30)), datetime(2024, 1, 20))], F.when(F.col("dt") < "2024-01-10", "cold").otherwise("hot"), ["hot"], 3600, datetime(2024, 1, 21)).select("dt", "hour"))
 register("m13_parity", "SELECT count(*) AS manifest, count(*) AS scanned, 0.0::DOUBLE AS drift_percent FROM logs")(lambda s, d: md.parity(views.files(s, d), views.logs(s, d)))
 register("s07_files_in_range", f"SELECT dt, hour FROM files WHERE max_time >= {_DAY[0]} AND min_time <= {_DAY[1]}", _FILES)(lambda s, d: md.files_in_range(views.files(s, d), *_RANGE).select("dt", "hour"))
 register("s08_tenant_scope", "SELECT event_id FROM logs WHERE account_id = 1 AND level = 'error'")(lambda s, d: Engine(views.logs(s, d), tenant=(1, 0)).query("level:=error | fields event_id"))
