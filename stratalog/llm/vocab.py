@@ -8,6 +8,7 @@ work on words and keep what they found in a bounded per-process table.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -18,6 +19,11 @@ import regex
 WORD_END_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The same patterns for texts of ASCII only, which the standard library splits about twice as fast.
+ASCII_SPACE = r" \t\n\r\x0b\x0c"
+WORD_END_ASCII = rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^{ASCII_SPACE}a-z0-9]+"
+BYTE_LEVEL_ASCII = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^{ASCII_SPACE}A-Za-z0-9]+|[{ASCII_SPACE}]+(?![^{ASCII_SPACE}])|[{ASCII_SPACE}]+"
+
 #: Words in one generation of what a process remembers; bounds memory, never the result.
 CACHE_WORDS = 300_000
 
@@ -54,7 +60,12 @@ class Vocabulary:
         self.folds = spec.get("normalizer") is not None
         self.letters = byte_letters()
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.words: Callable[[str], list[str]] = regex.compile(WORD_END_PATTERN if self.word_end else BYTE_LEVEL_PATTERN).findall
+        self.any_words = regex.compile(WORD_END_PATTERN if self.word_end else BYTE_LEVEL_PATTERN).findall
+        self.ascii_words = re.compile(WORD_END_ASCII if self.word_end else BYTE_LEVEL_ASCII).findall
+
+    def words(self, text: str) -> list[str]:
+        """The pre-split words of a folded text."""
+        return self.ascii_words(text) if text.isascii() else self.any_words(text)
 
     def fold(self, text: str) -> str:
         """Unicode composition and lower case where the file asks for it."""
