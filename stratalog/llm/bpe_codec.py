@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import text_batches
+from .storage import python_ready
 from .vocab import Vocabulary, WordTable, resident, vocabulary
 
 #: The rank of a byte: before every merge.
@@ -171,7 +171,7 @@ def encode_documents(df: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
             back = [auto.decode(x) for x in ids]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], ["doc_id", "ids", "decoded"])
 
-    text_batches(df.sparkSession)
+    python_ready(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -190,6 +190,6 @@ def encode_digests(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
                 text_digests.append(hashlib.sha256(b"".join(labels).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    text_batches(df.sparkSession)
+    python_ready(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

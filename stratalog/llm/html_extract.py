@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import text_batches
+from .storage import python_ready
 
 LONG_CHARS = 70
 STOP_DENSITY = 0.15
@@ -257,6 +257,6 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
             texts = [main_text(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    text_batches(df.sparkSession)
+    python_ready(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

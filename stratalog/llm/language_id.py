@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import text_batches
+from .storage import python_ready
 from .vocab import resident
 
 UNDECIDED = "und"
@@ -218,7 +218,7 @@ def identify(df: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str =
                 names, scores = p.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    text_batches(df.sparkSession)
+    python_ready(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import drop_ids, materialise, text_batches
+from .storage import drop_ids, materialise, python_ready
 from .vocab import resident
 
 BITS = 64
@@ -82,7 +82,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fps = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    text_batches(df.sparkSession)
+    python_ready(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -216,6 +216,7 @@ def links(fps: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _link_groups(batches, hot_rows)
 
+    python_ready(fps.sparkSession)
     found = materialise(_keyed(fps).repartition("key").sortWithinPartitions("key").mapInArrow(run, LINK_SCHEMA), "links")
     own = found.filter("key IS NULL").select("a", "b")
     large = found.filter("key IS NOT NULL")

@@ -6,7 +6,10 @@ session; only where it is unset (tests, a laptop) a local folder is used.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,8 +46,25 @@ BROADCAST_IDS = 2_000_000
 TEXT_ROWS = 1_000
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches for this session, unless it already asks for some number of rows."""
+_shipped: set[str] = set()
+
+
+def python_ready(spark: SparkSession) -> None:
+    """What operators that run Python need of a session, once each.
+
+    The package goes to the executors, whose Python may not have it on its
+    path, and Arrow batches become smaller unless the session already asks for
+    some number of rows.
+    """
+    app = spark.sparkContext.applicationId
+    package = Path(__file__).resolve().parent.parent
+    if app not in _shipped and package.is_dir():  # a package inside an archive was shipped already
+        _shipped.add(app)
+        archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, p.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(archive))
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(TEXT_ROWS))

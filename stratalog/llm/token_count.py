@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import text_batches
+from .storage import python_ready
 from .vocab import Vocabulary, WordTable, resident, vocabulary
 
 #: Documents above this many tokens are flagged.
@@ -83,7 +83,7 @@ def token_counts(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_co
             n = [count(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    text_batches(df.sparkSession)
+    python_ready(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -39,7 +39,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import new_path, text_batches
+from .storage import new_path, python_ready
 from .vocab import WordTable, resident, vocabulary
 
 MAGIC = b"SLTOKID1"
@@ -207,7 +207,7 @@ def write_shards(df: DataFrame, folder: str, vocab_path: str, id_col: str = "doc
     The range shuffle spreads a heavily repeated key by its text's hash.
     """
     rows = df.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
-    text_batches(df.sparkSession)
+    python_ready(df.sparkSession)
     ranged = rows.repartitionByRange(shards, "k", "h") if shards else rows.repartitionByRange("k", "h")
     ranged = ranged.sortWithinPartitions("k", "h").select(F.spark_partition_id().alias("p"), "k", "t")
 
