@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import drop_ids, materialise
+from .storage import BROADCAST_IDS, drop_ids, materialise
 
 #: Fixed masks: six words of windows of 6 to 10.
 SEEDS = ("111111", "11011011", "1101000111")
@@ -91,7 +91,8 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     hits = keyed.join(F.broadcast(hashed) if small else hashed, "h").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("d")).distinct()
     hits = materialise(hits, "hits")
     # Second read of the documents that were hit; their words are compared with the items'.
-    ids = hits.select("doc_id").distinct().withColumnRenamed("doc_id", "k")
+    ids = hits.select(F.col("doc_id").alias("k")).distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     hit_rows = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi").withColumn("w", words_of(F.col("t"))).drop("t")
     pairs = hits.join(bench, "item_id").withColumnRenamed("doc_id", "k")
     verified = hit_rows.join(pairs, F.col("doc_id").eqNullSafe(F.col("k"))).select("doc_id", "item_id", "d", F.size("b").alias("size"), _overlap().alias("o"))
