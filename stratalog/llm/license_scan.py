@@ -159,3 +159,42 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: I
         F.array_join(F.array_sort(F.array_distinct(F.concat("own", more))), ",").alias("labels"),
         F.greatest(F.when(F.size("starts") > 0, F.lit(1.0)).otherwise(F.lit(0.0)), F.coalesce(F.array_max(F.transform("found", lambda x: x["c"])), F.lit(0.0))).alias("score"),
     )
+
+
+def oracle_sql(index: Index | None = None) -> str:
+    """The scan in DuckDB's SQL, over `documents`."""
+    index = index or Index()
+
+    def words(text: str) -> str:
+        return "[" + _quoted(text.split()) + "]"
+
+    def starts(text: str, k: int) -> str:
+        w = text.split()
+        own = [f"list_transform(list_filter(range(0, len(w)), lambda i: w[i + 1] = '{w[j]}'), lambda i: i - {j})" for j in index.rarest(w, k)]
+        return own[0] if len(own) == 1 else f"list_distinct(list_concat({', '.join(own)}))" if len(own) == 2 else f"list_distinct(list_concat({own[0]}, list_concat({own[1]}, {own[2]})))"
+
+    def places(phrase: str) -> str:
+        n = len(phrase.split())
+        return f"list_filter({starts(phrase, 1)}, lambda s: s >= 0 AND w[s + 1 : s + {n}] = {words(phrase)})"
+
+    found = []
+    for t in index.templates:
+        n = len(t.text.split())
+        agree = f"len(list_filter(range(0, {n}), lambda j: s + j >= 0 AND w[s + j + 1] = ({words(t.text)})[j + 1])) / {n}.0::DOUBLE"
+        best = f"coalesce(list_max(list_transform({starts(t.text, ANCHORS)}, lambda s: {agree})), 0)"
+        keys = " AND ".join(f"len({places(k)}) > 0" for k in t.keys)
+        found.append(f"CASE WHEN {keys} THEN {best} ELSE 0 END")
+    base = ", ".join(f"{places(p)} AS b{k}" for k, (p, _) in enumerate(index.base))
+    covers = ", ".join(f"{f} AS c{k}" for k, f in enumerate(found))
+    own = ", ".join(f"CASE WHEN len(b{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(index.base))
+    more = ", ".join(f"CASE WHEN c{k} >= {COVERAGE} THEN '{t.label}' END" for k, t in enumerate(index.templates))
+    top = ", ".join(f"CASE WHEN c{k} >= {COVERAGE} THEN c{k} ELSE 0 END" for k in range(len(found)))
+    all_base = "list_concat(" * (len(index.base) - 1) + "b0" + "".join(f", b{k})" for k in range(1, len(index.base)))
+    joined = "coalesce(array_to_string(list_sort(list_distinct(list_filter([{}], lambda x: x IS NOT NULL))), ','), '')"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return (
+        f"WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents), "
+        f"b AS (SELECT doc_id, w, {base} FROM t), c AS (SELECT *, {all_base} AS starts, {covers} FROM b) "
+        f"SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(starts) AS BIGINT) AS n_base, CAST(list_min(starts) AS BIGINT) AS first_word, CAST(list_max(starts) AS BIGINT) AS last_word, "
+        f"{joined.format(own)} AS base_labels, {joined.format(own + ', ' + more)} AS labels, CAST(greatest(CASE WHEN len(starts) > 0 THEN 1 ELSE 0 END, {top}) AS DOUBLE) AS score FROM c"
+    )
