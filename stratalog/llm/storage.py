@@ -88,3 +88,12 @@ def drop_rows(df: DataFrame, gone: DataFrame, keys: list[Column]) -> DataFrame:
 def drop_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of `df` whose id is not in the one column of `ids`."""
     return drop_rows(df, ids, [F.col(id_col).cast("long")])
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that operators left in the shared folder.
+
+    Results are lazy and read them, so this is for after the results were written.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/stratalog")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -73,3 +73,16 @@ def test_drop_ids(spark, monkeypatch, most):
     monkeypatch.setattr(storage, "BROADCAST_IDS", most)
     df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "doc_id long, text string")
     assert [r.text for r in storage.drop_ids(df, spark.createDataFrame([(2,), (None,), (2,)], "x long")).collect()] == ["a"]
+
+
+def test_clear(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(storage, "shared_dir", lambda _: f"file://{tmp_path}")
+    df = storage.materialise(spark.range(3).toDF("a"), "x")
+    assert df.count() == 3 and list(tmp_path.rglob("*.parquet"))
+    storage.clear(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
+
+
+def test_shared_folder_is_the_sessions_own(spark):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert storage.shared_dir(spark) == (named or storage.LOCAL_FOLDER).rstrip("/")
