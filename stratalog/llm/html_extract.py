@@ -51,6 +51,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer foot bottom sidebar side aside rail widget widgets notice notices cookie cookies consent gdpr popup modal overlay alert comment comments commentlist disqus reply replies respond form search login signin signup newsletter subscribe subscription share sharing social related recommended recommendations more pagination pager toolbar copyright legal disclaimer contentinfo complementary".split()
 )
+#: Of those, the ones that an article element may carry and not be the page's article.
+NOT_ARTICLES = frozenset("ad advert advertisement comment comments promo promoted recommended related replies reply sponsored".split())
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
     "the of and to in a is that for it was on with as be by at this are from or an have not but had his they i you we he she which their has were been there if would can all will more when who so no out up what into than them its then some could time only other about over also after new our first any these two may such like her my de la le et les des en un une du que qui dans pour est sur au par pas plus ce se ne avec il son sont mais comme ou aux sa leur ses elle cette nous vous je on y der die und den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde el los del las por con una su para al lo como más pero sus o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante uno ni contra otros ese eso ante ellos".split()
@@ -58,7 +60,9 @@ STOP_WORDS = frozenset(
 
 TAG = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-WORD_SPLIT = re.compile(r"[\s_\-:/]+|(?<=[a-z])(?=[A-Z])")
+WORD_SPLIT = re.compile(r"[_\-:/]+|(?<=[a-z])(?=[A-Z])")
+#: First words of names that tell what a container has or is not, rather than what it is.
+TELLING = frozenset("has with without no not is hide show".split())
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -101,12 +105,17 @@ def _tag_end(page: str, at: int) -> int:
 
 
 def _is_bad(tag: str, attrs: str, in_article: bool) -> bool:
+    """Whether a container is to be left out by its tag or one of its names; an article may have a header of its own."""
+    if tag in ("html", "body"):
+        return False
     if tag in BAD_TAGS and not (tag == "header" and in_article):
         return True
+    known = NOT_ARTICLES if tag in GOOD_TAGS else BAD_NAMES
     for m in NAMES.finditer(attrs):
-        names = {w.lower() for w in WORD_SPLIT.split(m[1] or m[2] or m[3] or "")}
-        if names & BAD_NAMES:
-            return True
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in WORD_SPLIT.split(name)]
+            if words[0] not in TELLING and any(w in known and not (in_article and w == "header") for w in words):
+                return True
     return False
 
 
@@ -183,7 +192,7 @@ def blocks(page: str) -> list[Block]:
                     bad, article, hidden = state()
                 links = 0
                 good = tag in GOOD_TAGS or "articleBody" in attrs or 'role="main"' in attrs
-                stack.append((tag, bad or _is_bad(tag, attrs, article) and not good, article or good, hidden))
+                stack.append((tag, bad or _is_bad(tag, attrs, article), article or good, hidden))
                 cut(tag)
             elif tag in HIDDEN_TAGS:
                 stack.append((tag, bad, article, True))

@@ -30,6 +30,9 @@ CASES = {
     "angle brackets": (f"<article><p>1 < 2 and 3 > 2 <3 {LONG}</p></article>", f"1 < 2 and 3 > 2 <3 {LONG}"),
     "attributes": (f"<article><p title='a > b' data-x=\"</p>\">{LONG}</p></article>", LONG),
     "article header": (f"<article><header><h1>Inside</h1></header><p>{LONG}</p></article>", f"Inside\n{LONG}"),
+    "telling names": (f"<div class='layout has-sidebar'><article class='post no-comments'><div class='post-header'><h1>Top</h1></div><p>{LONG}</p></article><div class='sideBar widget_1'><p>{LONG}</p></div></div>", f"Top\n{LONG}"),
+    "comment articles": (f"<main><p>{LONG}</p></main><section id='comments'><article class='comment'><p>{LONG}</p></article></section>", LONG),
+    "comment without container": (f"<main class='sidebar-left'><p>{LONG}</p></main><article class='comment'><p>{LONG}</p></article>", LONG),
     "nested advert": (f"<article><p>{LONG}</p><div class='promo box'><p>{LONG}</p></div><p>Last.</p></article>", f"{LONG}\nLast."),
 }
 
