@@ -159,7 +159,8 @@ def learn(df: DataFrame, labels: DataFrame, where: Column | None = None, id_col:
                     p.update(found)
                 if k & 2:
                     u.update(found)
-            names = [f for f in p if p[f] > 1 or f in u]
+            # Every count of the batch: what is rare here may not be so in the sum.
+            names = list(p | u)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([p[f] for f in names], pa.int64()), pa.array([u[f] for f in names], pa.int64())], ["f", "p", "u"])
 
     counts = sampled.mapInArrow(count, "f string, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))

@@ -70,3 +70,14 @@ def test_scoring_equals_the_features():
     for text in ("Rotten!", "vileone vilething", "vileone", "", None, "rotten rotten vileones vileonex"):
         z = -1.0 + sum(w for f, w in weights if f in toxicity.features(text))
         assert abs(m.score(text) - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+def test_weights_do_not_depend_on_partitions(spark):
+    rows, labels = corpus(600)
+    r = random.Random(8)
+    # Words of few positives each, and common words that a batch's positives often lack.
+    rows = [(i, f"{t} rare{'abcdefghij'[i // 5 % 10]}x" if i % 5 == 0 else f"{t} usual{r.choice('abcdefgh')}", lang, s) for i, t, lang, s in rows]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)
+    one, many = (toxicity.learn(docs.repartition(n, "doc_id"), labels) for n in (1, 200))
+    assert one == many
+    assert sum(f.startswith("rare") and f.endswith("x") for f, _ in one[0]) == 10
