@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import BROADCAST_IDS, drop_ids, materialise
+from .storage import BROADCAST_IDS, drop_rows, materialise
 
 #: Fixed masks: six words of windows of 6 to 10.
 SEEDS = ("111111", "11011011", "1101000111")
@@ -113,5 +113,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose document overlaps no item, with all their columns."""
-    return drop_ids(docs, overlaps(docs, items, id_col, text_col).select("doc_id"), id_col)
+    """The rows of `docs` whose text overlaps no item, with all their columns.
+
+    Rows are named by a hash of id and text, so rows that share an id, or have
+    none, are judged each by its own text.
+    """
+    row = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+    found = overlaps(docs.select(row.alias("doc_id"), F.col(text_col).alias("text")), items)
+    return drop_rows(docs, found.select("doc_id"), [row])

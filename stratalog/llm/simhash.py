@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import drop_ids, materialise, python_ready
+from .storage import drop_rows, materialise, python_ready
 from .vocab import resident
 
 BITS = 64
@@ -86,6 +86,19 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def hashed_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
+    """doc_id, text_hash, fp of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("simhash", lambda: None)
+        for b in batches:
+            fps = np.array([fingerprint(t.as_py(), width) for t in b.column(2)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
+
+    python_ready(df.sparkSession)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
+
+
 def segment_masks(m: int = SEGMENTS) -> list[int]:
     """Bit masks of m segments of nearly equal width."""
     edges = [round(i * BITS / m) for i in range(m + 1)]
@@ -283,16 +296,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with all its columns: the one with the least id (of rows that share it, one).
+    """One row of each component, with all its columns: the one with the least id, then the least hash of the text.
 
-    Only ids are joined; rows are shuffled only where an id is on several rows.
+    Rows are named by id and hash of the text, and components by a fingerprint,
+    so rows that share an id, or have none, fall to their own text's component;
+    a null id stays only where all ids are null.  Only names are joined; rows
+    are shuffled only where a name is on several rows.
     """
-    found = materialise(near_duplicates(df, id_col, text_col), "classes")
-    rest = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    kept = drop_ids(df, rest, id_col)
-    shared = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    own_id, own_hash = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))
+    docs = materialise(hashed_fingerprints(df, id_col, text_col), "fingerprints")
+    roots = components(links(materialise(docs.select("fp").distinct(), "distinct")))
+    classes = materialise(docs.join(roots, docs["fp"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "fp").alias("root")), "classes")
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    first = classes.groupBy("root").agg(F.min(name).alias("first"))
+    judged = materialise(classes.join(first, "root").select("doc_id", "text_hash", (name == F.col("first")).alias("stays")), "judged")
+    kept = drop_rows(df, judged.filter("not stays").select("doc_id", "text_hash"), [own_id, own_hash])
+    shared = judged.filter("stays").groupBy("doc_id", "text_hash").count().filter("count > 1")
     if shared.isEmpty():
         return kept
-    shared = materialise(shared, "shared").withColumnRenamed("doc_id", "_shared")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_shared"))
-    return kept.join(shared, same, "left_anti").unionByName(kept.join(shared, same, "left_semi").dropDuplicates([id_col]))
+    shared = materialise(shared.select(F.col("doc_id").alias("_shared"), F.col("text_hash").alias("_hash")), "shared")
+    same = own_id.eqNullSafe(F.col("_shared")) & (own_hash == F.col("_hash"))
+    repeated = kept.join(shared, same, "left_semi").withColumn("_shared", own_id).withColumn("_hash", own_hash)
+    return kept.join(shared, same, "left_anti").unionByName(repeated.dropDuplicates(["_shared", "_hash"]).drop("_shared", "_hash"))

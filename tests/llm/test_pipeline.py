@@ -86,3 +86,24 @@ def test_clear(spark, monkeypatch, tmp_path):
 def test_shared_folder_is_the_sessions_own(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert storage.shared_dir(spark) == (named or storage.LOCAL_FOLDER).rstrip("/")
+
+
+def prose(seed, n=60):
+    return " ".join(hashlib.md5(f"{seed}-{i}".encode()).hexdigest()[:6] for i in range(n))
+
+
+def test_one_of_each_keeps_unrelated_texts_of_one_id(spark):
+    a, b, c, d, e, f = (prose(k) for k in "abcdef")
+    rows = [(None, b), (None, c), (None, a), (None, c), (1, a), (7, d), (7, e), (7, e), (3, d), (9, f), (9, f + " "), (None, None)]
+    df = spark.createDataFrame([(k, t, "en", "s", 0, i) for i, (k, t) in enumerate(rows)], ROWS)
+    got = sorted(((r.doc_id, (r.text or "").strip()) for r in simhash.one_of_each(df).collect()), key=str)
+    assert got == sorted([(None, b), (None, c), (1, a), (7, e), (3, d), (9, f), (None, "")], key=str)
+
+
+def test_clean_keeps_unrelated_texts_of_one_id(spark):
+    item = prose("item", 20)
+    rows = [(None, prose("a")), (None, prose("b") + " " + item), (None, None), (4, prose("c")), (4, item + " " + prose("d")), (4, prose("e")), (5, item), (5, item)]
+    df = spark.createDataFrame([(k, t, "en", "s", 0, i) for i, (k, t) in enumerate(rows)], ROWS)
+    got = decontaminate.clean(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert got.columns == df.columns
+    assert sorted(r.extra for r in got.collect()) == [0, 2, 3, 5]
