@@ -1,11 +1,13 @@
 """Shared folders: where operators put tables that executors and driver must both see.
 
 `spark.checkpoint.dir` names the folder on a cluster.  It is read from the
-session; only where it is unset (tests, a laptop) a local folder is used.
+session; where it is unset a local folder is used, but only if Spark itself
+runs on this machine alone.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -18,9 +20,25 @@ LOCAL_FOLDER = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder as a URI without a trailing slash."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER
-    return folder.rstrip("/")
+    """The shared folder as a URI without a trailing slash; a path without a scheme is of Hadoop's default file system."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = LOCAL_FOLDER
+    if not re.match(r"[A-Za-z][\w+.-]*:", folder):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", folder).rstrip("/")
+
+
+def fresh(stem: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has, whatever the case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    name, k = stem, 0
+    while name.lower() in taken:
+        name, k = f"{stem}{k}", k + 1
+    return name
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -42,8 +60,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 #: Rows of keys that may be broadcast: 8 or 16 bytes each, so 32 MB before hashing.
 BROADCAST_IDS = 2_000_000
-#: Rows handed to Python at a time; Spark's default suits short rows, not texts.
-TEXT_ROWS = 1_000
+#: Rows and bytes handed to Python at a time where the session names no number; Spark's defaults suit short rows, not texts.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "33554432"}
 
 
 _shipped: set[str] = set()
@@ -53,8 +71,8 @@ def python_ready(spark: SparkSession) -> None:
     """What operators that run Python need of a session, once each.
 
     The package goes to the executors, whose Python may not have it on its
-    path, and Arrow batches become smaller unless the session already asks for
-    some number of rows.
+    path, and Arrow batches become smaller, by rows and by bytes, unless the
+    session says how large they are.
     """
     app = spark.sparkContext.applicationId
     package = Path(__file__).resolve().parent.parent
@@ -65,9 +83,10 @@ def python_ready(spark: SparkSession) -> None:
             for p in sorted(package.rglob("*.py")):
                 z.write(p, p.relative_to(package.parent))
         spark.sparkContext.addPyFile(str(archive))
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(TEXT_ROWS))
+    own = spark._jsparkSession.sessionState().conf()
+    for name, value in BATCHES.items():
+        if not own.contains(name):  # what the user set stays
+            spark.conf.set(name, value)
 
 
 def drop_rows(df: DataFrame, gone: DataFrame, keys: list[Column]) -> DataFrame:
@@ -76,7 +95,7 @@ def drop_rows(df: DataFrame, gone: DataFrame, keys: list[Column]) -> DataFrame:
     The rows of `gone` are counted; up to `BROADCAST_IDS` they are broadcast
     and `df` is not shuffled, beyond that both sides are.
     """
-    names = [f"_gone{k}" for k in range(len(keys))]
+    names = [fresh(f"_gone{k}_", df) for k in range(len(keys))]
     gone = materialise(gone.toDF(*names).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge")
     test = keys[0].eqNullSafe(F.col(names[0]))

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -80,4 +81,46 @@ def test_weights_do_not_depend_on_partitions(spark):
     docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)
     one, many = (toxicity.learn(docs.repartition(n, "doc_id"), labels) for n in (1, 200))
     assert one == many
-    assert sum(f.startswith("rare") and f.endswith("x") for f, _ in one[0]) == 10
+    # The features that the rule names, by a plain count over all texts (the bounds hold all 600).
+    toxic = {k for k, _, y, _ in [tuple(x) for x in labels.collect()] if y}
+    found = [(k, toxicity.features(t)) for k, t, *_ in rows]
+    p, u = (Counter(f for k, fs in found if k in toxic or every for f in fs) for every in (False, True))
+    n, m = len(toxic), len(rows)
+    rates = {f: (p[f] / n - u[f] / m, q * (1 - q) * (1 / n + 1 / m)) for f in p if p[f] >= toxicity.SEEN and (q := (p[f] + u[f]) / (n + m)) < 1}
+    named = {f for f, (gap, var) in rates.items() if gap >= toxicity.EXCESS * (var + 1e-12) ** 0.5}
+    assert {f for f, _ in one[0]} <= named and len(one[0]) > 0.8 * len(named) > 5
+    assert any(f.startswith("rare") and f.endswith("x") for f in named)
+
+
+def test_positives_that_are_not_in_the_table_teach_nothing(spark):
+    docs = spark.createDataFrame([(i, f"plain words number {i} of the text", "en", 0.0) for i in range(50)], DOCS)
+    absent = spark.createDataFrame([(1000 + i, 1, 1, "") for i in range(20)] + [(i, 1, 0, "") for i in range(20)], LABELS)
+    got = toxicity.toxicity(docs, absent).collect()
+    assert len(got) == 50 and len({g.score for g in got}) == 1 and got[0].score < 0.05
+    assert toxicity.drop_toxic(docs, *toxicity.learn(docs, absent)).count() == 50
+
+
+def test_partly_absent_and_repeated_labels(spark):
+    rows, labels = corpus(900)
+    docs = spark.createDataFrame(rows, DOCS)
+    plain = toxicity.learn(docs, spark.createDataFrame(labels, LABELS))
+    more = labels * 3 + [(50_000 + i, 1, 1, "") for i in range(3000)] + [(labels[0][0], 1, 0, "")]
+    assert toxicity.learn(docs, spark.createDataFrame(more, LABELS)) == plain
+    assert len(plain[0]) > 3
+
+
+def test_fit_without_one_kind():
+    for positive in ([True] * 3, [False] * 3, []):
+        w, b = toxicity.fit_nnpu([[0], [1], []][: len(positive)], positive, 2, 0.25)
+        assert w.tolist() == [0, 0] and abs(b - np.log(0.25 / 0.75)) < 1e-12
+
+
+def test_risk_against_brute_force():
+    r = np.random.default_rng(4)
+    rows = [sorted(set(r.integers(0, 6, 3).tolist())) for _ in range(40)]
+    w, b, prior = r.normal(size=6) * 3, -0.3, 0.2
+    p, u = rows[:15], rows[15:]
+    hit = [[1 / (1 + np.exp(-(b + sum(w[c] for c in x)))) >= toxicity.THRESHOLD for x in part] for part in (p, u)]
+    want = prior * hit[0].count(False) / 15 + max(0, hit[1].count(True) / 25 - prior * hit[0].count(True) / 15)
+    assert abs(toxicity.decision_risk(p, u, w, b, prior) - want) < 1e-12
+    assert toxicity.chosen_decay(p[:2], u, 6, prior) == toxicity.DECAYS[0]
