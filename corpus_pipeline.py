@@ -2,13 +2,20 @@
 
 Each stage takes what its predecessor kept, written as Parquet and read again,
 and all but the last return the columns of `documents`.
+
+Defined results, for every stage: null, empty and very long texts, repeated
+rows, null and repeated ids and empty tables are handled as the operators'
+docstrings say.  Rows are dropped by id and text together, so an id on several
+texts loses only those that are rejected; identical rows stay or go together,
+except that near-duplicate removal keeps one of them.  Extra columns, of any
+name, pass through the first four stages; the last returns its own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalog.llm import bpe_codec, decontaminate, quality_rules, simhash, storage, toxicity
+from stratalog.llm import bpe_codec, decontaminate, near_copies, quality_rules, storage, toxicity
 from stratalog.llm.queries import vocab_file
 
 
@@ -25,8 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash components: one document of each stays."""
-    return simhash.one_of_each(docs)
+    """SimHash candidates of five-word shingles, verified at a similarity of 0.8: one document of each group stays."""
+    return near_copies.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,11 +19,15 @@ fingerprints only.  Where many near copies meet under one key the links are
 found as a spanning forest, never as all pairs; a key with more than
 `hot_rows` fingerprints is dealt over blocks, each pair of blocks in a task of
 its own.  Components are found with alternating stars on tables in the shared
-folder.
+folder; what stars with many members, or fingerprints of many copies, bring to
+a join is broadcast, as they can only be few.
+
+`near_copies` is the corpus form: shingles of five words, verified by Jaccard.
 
 Defined results: null and wordless texts have fingerprint zero, linked like
-any other; shorter texts are one shingle; repeated rows come out once each; a
-null id is never a component's name unless all its ids are null.
+any other; shorter texts are one shingle; texts of any length are taken whole;
+repeated rows come out once each; a null id is never a component's name unless
+all its ids are null; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import drop_rows, materialise, python_ready
+from .storage import materialise, python_ready
 from .vocab import resident
 
 BITS = 64
@@ -48,6 +52,8 @@ SEGMENTS = 7
 CHAIN = 5
 SEED = 42
 HOT_ROWS = 100_000
+#: Nodes and fingerprints of the most arcs and copies whose rows a join broadcasts instead of shuffling, at most.
+STARS = 100_000
 #: Hashes whose bits are counted at once; bounds memory for very long texts.
 BLOCK = 1 << 15
 
@@ -86,19 +92,6 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def hashed_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, text_hash, fp of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        resident("simhash", lambda: None)
-        for b in batches:
-            fps = np.array([fingerprint(t.as_py(), width) for t in b.column(2)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
-
-    python_ready(df.sparkSession)
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
-
-
 def segment_masks(m: int = SEGMENTS) -> list[int]:
     """Bit masks of m segments of nearly equal width."""
     edges = [round(i * BITS / m) for i in range(m + 1)]
@@ -125,13 +118,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def viable(a: np.ndarray, b: np.ndarray, m: int = SEGMENTS, t: int = MAX_BITS) -> np.ndarray:
-    """Whether some start has every chain within its budget: the pigeonring test."""
-    diff = a ^ b
-    boxes = [np.bitwise_count(diff & np.uint64(mask)).astype(np.int16) for mask in segment_masks(m)]
-    out = np.zeros(len(diff), dtype=bool)
+def viable_boxes(boxes: list[np.ndarray], t: int) -> np.ndarray:
+    """Whether from some start on the ring every chain keeps its budget of differing bits, given the differing bits of each segment."""
+    m = len(boxes)
+    out = np.zeros(len(boxes[0]), dtype=bool)
     for start in range(m):
-        total, ok = np.zeros(len(diff), dtype=np.int16), np.ones(len(diff), dtype=bool)
+        total, ok = 0, ~out
         for length in range(1, m + 1):
             total = total + boxes[(start + length - 1) % m]
             ok &= total <= length * t // m
@@ -139,6 +131,12 @@ def viable(a: np.ndarray, b: np.ndarray, m: int = SEGMENTS, t: int = MAX_BITS) -
     return out
 
 
+def viable(a: np.ndarray, b: np.ndarray, m: int = SEGMENTS, t: int = MAX_BITS) -> np.ndarray:
+    """The pigeonring test of pairs of fingerprints."""
+    diff = a ^ b
+    return viable_boxes([np.bitwise_count(diff & np.uint64(mask)).astype(np.int16) for mask in segment_masks(m)], t)
+
+
 def linked(a: np.ndarray, b: np.ndarray, t: int = MAX_BITS) -> np.ndarray:
     """Chain test, then the Hamming check on what is left."""
     ok = viable(a, b, SEGMENTS, t)
@@ -150,7 +148,7 @@ def forest(fps: np.ndarray, t: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within one group: each member under its component's first.
 
     Each visited member looks at the unvisited ones only, so a dense group is
-    done after few looks.
+    done after few looks.  Every look is the chain test, then the Hamming check.
     """
     left, members, roots = fps.copy(), [], []
     while len(left) > 1:
@@ -158,7 +156,7 @@ def forest(fps: np.ndarray, t: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
         queue = [root]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= t
+            near = linked(left, np.full(len(left), x), t)
             if near.any():
                 found = left[near]
                 left = left[~near]
@@ -175,52 +173,57 @@ def _keyed(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """The groups of a stream sorted by its first column, as (columns, False) with many whole groups at a time.
+
+    A group of more than `limit` rows comes as several (columns, True), one
+    part of that group each, so memory is bounded.
+    """
+    held: list[np.ndarray] | None = None
+    large = None
+    for batch in batches:
+        cols = [c.to_numpy() for c in batch.columns]
+        if held is not None:
+            cols = [np.concatenate(pair) for pair in zip(held, cols)]
+        held = None
+        if large is not None and len(cols[0]):
+            end = int(np.searchsorted(cols[0] != large, True))
+            if end:
+                yield [c[:end] for c in cols], True
+            cols = [c[end:] for c in cols]
+        if not len(cols[0]):
+            continue
+        large = None
+        cut = int(np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])[-1])
+        if cut:
+            yield [c[:cut] for c in cols], False
+            cols = [c[cut:] for c in cols]
+        if len(cols[0]) > limit:
+            large = cols[0][0]
+            yield cols, True
+        else:
+            held = cols
+    if held is not None:
+        yield held, False
+
+
 LINK_SCHEMA = "a long, b long, key long"
 
 
 def _link_groups(batches: Iterator[pa.RecordBatch], hot_rows: int) -> Iterator[pa.RecordBatch]:
     """Links (a, b, null) within the groups of a stream sorted by key; rows (fp, null, key) of groups beyond `hot_rows`."""
-
-    def told(a, b, key=None):
-        n = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.nulls(n, pa.int64()) if b is None else pa.array(b.view(np.int64)), pa.nulls(n, pa.int64()) if key is None else pa.array(np.full(n, key, np.int64))], ["a", "b", "key"])
-
-    def groups(keys, fps):
+    for (keys, signed), part in whole_groups(batches, hot_rows):
+        fps = signed.view(np.uint64)
+        if part:
+            yield pa.RecordBatch.from_arrays([pa.array(signed), pa.nulls(len(keys), pa.int64()), pa.array(keys)], ["a", "b", "key"])
+            continue
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         size = np.diff(np.r_[first, len(keys)])
         two = first[size == 2]
-        a, b = fps[two], fps[two + 1]
-        ok = linked(a, b)
-        out_a, out_b = [b[ok]], [a[ok]]
-        for i, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
-            x, y = forest(fps[i : i + n])
-            out_a.append(x)
-            out_b.append(y)
-        return np.concatenate(out_a), np.concatenate(out_b)
-
-    keys, fps, hot = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
-    for batch in batches:
-        keys = np.r_[keys, batch.column(0).to_numpy()]
-        fps = np.r_[fps, batch.column(1).to_numpy().view(np.uint64)]
-        if not len(keys):
-            continue
-        if hot is not None:  # the rest of a group that was too large
-            end = int(np.searchsorted(keys != hot, True))
-            yield told(fps[:end], None, hot)
-            keys, fps = keys[end:], fps[end:]
-            if not len(keys):
-                continue
-            hot = None
-        cut = int(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[-1])
-        if cut:
-            yield told(*groups(keys[:cut], fps[:cut]))
-            keys, fps = keys[cut:], fps[cut:]
-        if len(keys) > hot_rows:
-            hot = int(keys[0])
-            yield told(fps, None, hot)
-            keys, fps = keys[:0], fps[:0]
-    if len(keys):
-        yield told(*groups(keys, fps))
+        ok = linked(fps[two], fps[two + 1])
+        found = [(fps[two + 1][ok], fps[two][ok])] + [forest(fps[i : i + n]) for i, n in zip(first[size > 2].tolist(), size[size > 2].tolist())]
+        a, b = (np.concatenate(side).view(np.int64) for side in zip(*found))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
 
 
 def links(fps: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -237,7 +240,7 @@ def links(fps: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         return own.distinct()
     # Blocks of about half of hot_rows; every pair of blocks meets in one group, so no group exceeds hot_rows.
     blocks = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 2.2 / hot_rows).cast("int").alias("n"))
-    dealt = large.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("a"), F.col("n")).cast("int"))
+    dealt = large.join(F.broadcast(blocks), "key").withColumn("i", F.pmod(F.xxhash64("a"), F.col("n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
     pairs = dealt.select("key", "a", "i", other.alias("j")).select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), F.col("a").alias("fp"))
 
@@ -248,6 +251,18 @@ def links(fps: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return own.unionByName(split.select("a", "b")).distinct()
 
 
+def _with_least(arcs: DataFrame, least: DataFrame, arcs_count: int) -> DataFrame:
+    """`arcs` (a, b) joined with `least` (a, m, n: neighbours of a).
+
+    Nodes of many arcs are split off and broadcast: at most `STARS` of them can
+    have that many.
+    """
+    many = max(500, arcs_count // STARS)
+    hot = F.broadcast(least.filter(F.col("n") > many).select("a", "m"))
+    rest = arcs.join(hot, "a", "left_anti").join(least.filter(F.col("n") <= many).select("a", "m"), "a")
+    return arcs.join(hot, "a").unionByName(rest)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root for every node of `edges` (a, b): root is the least node reachable.
 
@@ -265,10 +280,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _with_least(both.filter("b > a"), low, before[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialise(large, "stars")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_least(large, low, before[0])
         # A node keeps its least neighbour, and each other smaller neighbour is hung below that one too.
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
         now = materialise(small, "stars")
@@ -286,35 +302,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each row."""
     docs = materialise(fingerprints(df, id_col, text_col, width), "fingerprints")
-    distinct = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = components(links(distinct.select("fp"), hot_rows))
     named = roots.join(distinct, roots["node"] == distinct["fp"]).select("fp", "root", "least")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked_fps = materialise(named.join(names, "root").select("fp", "component_id"), "components")
-    classes = distinct.join(linked_fps, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return docs.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with all its columns: the one with the least id, then the least hash of the text.
-
-    Rows are named by id and hash of the text, and components by a fingerprint,
-    so rows that share an id, or have none, fall to their own text's component;
-    a null id stays only where all ids are null.  Only names are joined; rows
-    are shuffled only where a name is on several rows.
-    """
-    own_id, own_hash = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))
-    docs = materialise(hashed_fingerprints(df, id_col, text_col), "fingerprints")
-    roots = components(links(materialise(docs.select("fp").distinct(), "distinct")))
-    classes = materialise(docs.join(roots, docs["fp"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "fp").alias("root")), "classes")
-    name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    first = classes.groupBy("root").agg(F.min(name).alias("first"))
-    judged = materialise(classes.join(first, "root").select("doc_id", "text_hash", (name == F.col("first")).alias("stays")), "judged")
-    kept = drop_rows(df, judged.filter("not stays").select("doc_id", "text_hash"), [own_id, own_hash])
-    shared = judged.filter("stays").groupBy("doc_id", "text_hash").count().filter("count > 1")
-    if shared.isEmpty():
-        return kept
-    shared = materialise(shared.select(F.col("doc_id").alias("_shared"), F.col("text_hash").alias("_hash")), "shared")
-    same = own_id.eqNullSafe(F.col("_shared")) & (own_hash == F.col("_hash"))
-    repeated = kept.join(shared, same, "left_semi").withColumn("_shared", own_id).withColumn("_hash", own_hash)
-    return kept.join(shared, same, "left_anti").unionByName(repeated.dropDuplicates(["_shared", "_hash"]).drop("_shared", "_hash"))
+    linked_fps = named.join(names, "root").select("fp", "component_id")
+    classes = materialise(distinct.join(linked_fps, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "components")
+    # Fingerprints of many copies are few, rows / many at most; theirs are broadcast and the rest shuffled.
+    many = max(500, docs.count() // STARS)
+    hot = F.broadcast(classes.filter(F.col("n") > many).drop("n"))
+    rest = docs.join(hot, "fp", "left_anti").join(classes.filter(F.col("n") <= many).drop("n"), "fp")
+    return docs.join(hot, "fp").unionByName(rest).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
