@@ -1,24 +1,35 @@
 """BPE encoding and decoding with a tokenization automaton.
 
-The automaton's arcs are labelled with tokens and it accepts exactly the token
-sequences that byte-pair encoding gives.  It starts as one state with a loop
-for each byte.  The merges are applied in rank order, each by one gadget: for
-a merge (a, b) the state behind every a-arc is replaced by a copy that lacks
-its b-arc, and an ab-arc leads from where that a-arc began to where the b-arc
-ended.  The state behind an arc depends on its label alone, so there is one
-state per token, and the gadget of ab makes it as a copy of b's state *at that
-rank*.  The copies are kept copy-on-write: a state is the token it was copied
-from, the rank of the copy, and the arcs that later gadgets took away.  The
-full table would have |V| squared arcs; rows are filled in as texts cross them.
-
-A pre-split word is encoded by table-driven transitions: each offset has one
-token that ends there on an accepted path, found from the tokens that end
-there and the arc table, so the run is deterministic and needs no merge
-queue.  Decoding walks the arcs and emits their labels, the tokens' bytes.
+The automaton is built in two steps.
+
+*Gadgets.*  An automaton whose arcs are labelled with tokens accepts exactly
+the token sequences that byte-pair encoding gives.  It starts as one state
+with a loop for each byte.  The merges are applied in rank order, each by one
+gadget: for a merge (a, b) the state behind every a-arc is replaced by a copy
+that lacks its b-arc, and an ab-arc leads from where that a-arc began to where
+the b-arc ended.  The state behind an arc depends on its label alone, so there
+is one state per token, and the gadget of ab makes it as a copy of b's state
+*at that rank*.  The full table would have |V| squared arcs, 2.5 billion for
+50,000 tokens, so a state is kept as what it was copied from, the rank of the
+copy, and the arcs that later gadgets took away.
+
+*Determinisation.*  Over bytes that automaton is not deterministic: several
+tokens can be under way.  The subset construction makes it so.  A state of the
+deterministic automaton is the set of (token that ended, label node reached
+since) pairs that are under way; a byte leads to one next state, and the arc
+says which token ends there on the accepted path, of which there is exactly
+one for each prefix.  Its transition table is filled in as texts cross it, and
+emptied when it has `STATES` states; that bounds memory, never the result.
+
+A pre-split word is encoded by table look-ups, one for each byte, and a walk
+back over the tokens that ended.  Decoding emits the arcs' labels, the tokens'
+bytes.
 
 Defined results: a null text is the empty text (0 tokens); special strings in
-a text become their own id, as the library's default does; bytes that are no
-UTF-8 decode to U+FFFD; one row comes out per row in.
+a text become their own id, as the library's default does; texts and words of
+any length are taken whole; bytes that are no UTF-8 decode to U+FFFD; one row
+comes out per row in, so repeated rows and null ids stay; an empty table gives
+no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,8 +47,8 @@ from .vocab import Vocabulary, WordTable, resident, vocabulary
 #: The rank of a byte: before every merge.
 BYTE = -1
 NEVER = 1 << 60
-#: Arcs a process remembers before it starts its table again.
-ARC_LIMIT = 2_000_000
+#: States of the deterministic automaton, and words, that a process remembers.
+STATES, WORDS = 100_000, 150_000
 
 
 class TokenAutomaton:
@@ -69,8 +80,8 @@ class TokenAutomaton:
                     self.ends_in.append(-1)
                 node = self.step[key]
             self.ends_in[node] = i
-        self.arcs: dict[int, bool] = {}
-        self.table = WordTable(self._word)
+        self.table = WordTable(self._word, WORDS)
+        self._start()
 
     def _gadget(self, rank: int, a: int, b: int, ab: int) -> None:
         """Take the b-arc from the state behind a; lead an ab-arc past both."""
@@ -98,36 +109,49 @@ class TokenAutomaton:
             else:  # a gadget on a pair of equal tokens pairs them up from the left
                 v, until, own_end = self.first[v], bv, True
 
-    def word_ids(self, word: bytes) -> list[int]:
-        """The labels of the accepted path of a word.
+    def _start(self) -> None:
+        """An empty transition table: state 0 has nothing behind it (-1) and stands at the root of the labels."""
+        self.states: list[tuple[tuple[int, int], ...]] = [((-1, 0),)]
+        self.number: dict[tuple[tuple[int, int], ...], int] = {self.states[0]: 0}
+        #: (state, byte) to (next state, token that ends here), as one number each.
+        self.transitions: dict[int, int] = {}
+
+    def _compile(self, state: int, byte: int) -> int:
+        """One transition of the subset construction, entered into the table."""
+        under_way, ended = [], -1
+        for u, node in self.states[state]:
+            node = self.step.get(node << 8 | byte)
+            if node is None:
+                continue
+            under_way.append((u, node))
+            v = self.ends_in[node]
+            if v >= 0 and ended < 0 and (u < 0 or self._arc(u, v)):
+                ended = v
+        under_way.append((ended, 0))
+        key = tuple(under_way)
+        to = self.number.get(key)
+        if to is None:
+            to = self.number[key] = len(self.states)
+            self.states.append(key)
+        found = self.transitions[state << 8 | byte] = to << 20 | ended
+        return found
 
-        From each offset in turn the label table is walked over the bytes that
-        follow; a label that ends where no accepted path ended yet is taken if
-        the state here has its arc.
-        """
-        n, step, ends_in, arcs = len(word), self.step, self.ends_in, self.arcs
-        last = [-1] * n
-        here = -1
-        for start in range(n):
-            node = 0
-            for end in range(start, n):
-                node = step.get(node << 8 | word[end])
-                if node is None:
-                    break
-                v = ends_in[node]
-                if v >= 0 and last[end] < 0:
-                    if start:
-                        key = here << 20 | v
-                        ok = arcs.get(key)
-                        if ok is None:
-                            if len(arcs) >= ARC_LIMIT:
-                                arcs.clear()
-                            ok = arcs[key] = self._arc(here, v)
-                        if not ok:
-                            continue
-                    last[end] = v
-            here = last[start]
-        out, end, size = [], n - 1, self.size
+    def word_ids(self, word: bytes) -> list[int]:
+        """The labels of the accepted path of a word: a table look-up for each byte, then the walk back."""
+        table, state, last = self.transitions, 0, []
+        for byte in word:
+            found = table.get(state << 8 | byte)
+            if found is None:
+                if len(self.states) >= STATES:  # what is under way now goes over into the emptied table
+                    key = self.states[state]
+                    self._start()
+                    table, state = self.transitions, self.number.setdefault(key, len(self.states))
+                    if state == len(self.states):
+                        self.states.append(key)
+                found = self._compile(state, byte)
+            state = found >> 20
+            last.append(found & 0xFFFFF)
+        out, end, size = [], len(last) - 1, self.size
         while end >= 0:
             out.append(last[end])
             end -= size[last[end]]

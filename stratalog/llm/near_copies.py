@@ -16,10 +16,11 @@ which suits up to some 10 ** 9 nodes; beyond that take longer and more keys.
 
 Exact copies are one node.  Groups of up to `ALL_PAIRS` nodes under a key give
 all their pairs.  Larger groups first give a spanning forest, whose links are
-verified and joined into components; only pairs across components are then
-tried one by one, a group of more than `hot_rows` nodes in pairs of blocks.
-So a class of thousands of near copies is never expanded into all pairs, and
-no pair that could join two components goes untried.
+verified and joined into components; where a group then still holds several
+components, its shingle sets are brought together, in pairs of blocks of
+`BLOCK_NODES` nodes, and compared there at once by a matrix product, of which
+at most one link to a node comes out.  So a class of thousands of near
+copies is never expanded into pairs, and no pair that meets goes untried.
 
 Defined results: null texts and texts without words are near copies of each
 other; texts of fewer than `WIDTH` words are one shingle; texts that differ in
@@ -51,6 +52,8 @@ ALL_PAIRS = 24
 #: Nodes that lead from one part of a large group to the next.
 PIVOTS = 100
 HOT_ROWS = 50_000
+#: Nodes of a block, and shingles that one step of the matrix product covers; both bound memory.
+BLOCK_NODES, STEP = 500, 2048
 SEED = 42
 #: Hashes whose bits are counted at once; bounds memory for very long texts.
 BLOCK = 1 << 15
@@ -116,10 +119,10 @@ def key_masks(tables: int = TABLES) -> list[tuple[int, ...]]:
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
-    """key, node, f0, f1, root: each node under each of its keys, dealt and sorted by key."""
+    """key, node, f0, f1: each node under each of its keys, dealt and sorted by key."""
     masks = F.arrays_zip(*[F.array(*[F.lit(m[k]) for m in key_masks()]).alias(f"m{k}") for k in range(WORDS64)])
     keys = F.transform(masks, lambda m, i: F.xxhash64(*[F.col(f).bitwiseAND(m[f"m{k}"]) for k, f in enumerate(PRINT)], i))
-    return nodes.select(F.explode(keys).alias("key"), "node", "f0", "f1", "root").repartition("key").sortWithinPartitions("key")
+    return nodes.select(F.explode(keys).alias("key"), "node", "f0", "f1").repartition("key").sortWithinPartitions("key")
 
 
 def _close(x: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -155,12 +158,8 @@ def _forest(x: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 PAIR_SCHEMA = "a long, b long, key long"
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], every: bool, limit: int) -> Iterator[pa.RecordBatch]:
-    """Pairs to verify (a, b, null) within the groups of a stream sorted by key.
-
-    Not `every`: large groups give a forest and their members (node, null, key).
-    `every`: all pairs of different roots; members of groups beyond `limit` come out as (node, null, key).
-    """
+def _pairs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Pairs to verify (a, b, null) within the groups of a stream sorted by key; large groups give a forest and their members (node, null, key)."""
 
     def told(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
@@ -172,12 +171,11 @@ def _pairs(batches: Iterator[pa.RecordBatch], every: bool, limit: int) -> Iterat
     for x, part in whole_groups(batches, limit):
         if part:  # one group that goes on in the next part
             yield members(x)
-            if not every:
-                same = pivots is not None and pivots[0][0] == x[0][0]
-                x = [np.r_[p, c] for p, c in zip(pivots, x)] if same else x
-                i, j, roots = _forest(x, np.arange(len(x[0])))
-                yield told(x[1][i], x[1][j])
-                pivots = [c[roots[:PIVOTS]] for c in x]
+            same = pivots is not None and pivots[0][0] == x[0][0]
+            x = [np.r_[p, c] for p, c in zip(pivots, x)] if same else x
+            i, j, roots = _forest(x, np.arange(len(x[0])))
+            yield told(x[1][i], x[1][j])
+            pivots = [c[roots[:PIVOTS]] for c in x]
             continue
         first = np.flatnonzero(np.r_[True, x[0][1:] != x[0][:-1]])
         size = np.diff(np.r_[first, len(x[0])])
@@ -185,23 +183,61 @@ def _pairs(batches: Iterator[pa.RecordBatch], every: bool, limit: int) -> Iterat
             own = first[size == n][:, None]
             one, two = np.triu_indices(n, 1)
             i, j = (own + one).ravel(), (own + two).ravel()
-            differ = x[4][i] != x[4][j]
-            i, j = i[differ], j[differ]
             ok = _close(x, i, j)
             yield told(x[1][i[ok]], x[1][j[ok]])
         for s, n in zip(first[size > ALL_PAIRS].tolist(), size[size > ALL_PAIRS].tolist()):
             at = np.arange(s, s + n)
-            if every:
-                for k in range(s, s + n - 1):
-                    rest = np.arange(k + 1, s + n)
-                    rest = rest[x[4][rest] != x[4][k]]
-                    rest = rest[_close(x, np.full(len(rest), k), rest)]
-                    if len(rest):
-                        yield told(np.full(len(rest), x[1][k]), x[1][rest])
-            else:
-                i, j, _ = _forest(x, at)
-                yield told(x[1][i], x[1][j])
-                yield members([c[at] for c in x])
+            i, j, _ = _forest(x, at)
+            yield told(x[1][i], x[1][j])
+            yield members([c[at] for c in x])
+
+
+def joining_links(nodes: np.ndarray, roots: np.ndarray, sets: pa.ListArray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Links between nodes of different roots that are similar enough: enough to join all components that are linked, at most one to a node."""
+    size = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(nodes)), size)
+    _, at, count = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    # Shingles of one node only are in no intersection.
+    number = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[at]
+    owner, number = owner[number >= 0], number[number >= 0]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    shared = np.zeros((len(nodes), len(nodes)), dtype=np.float32)
+    for k in range(0, int(number[-1]) + 1 if len(number) else 0, STEP):
+        a, b = np.searchsorted(number, (k, k + STEP))
+        part = np.zeros((len(nodes), STEP), dtype=np.float32)
+        part[owner[a:b], number[a:b] - k] = 1
+        shared += part @ part.T
+    linked = shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-6
+    one = roots[:, None] == roots[None, :]
+    left, found = np.ones(len(nodes), dtype=bool), []
+    while left.any():
+        queue = [int(np.argmax(left))]
+        left[queue[0]] = False
+        while queue:
+            k = queue.pop()
+            near = np.flatnonzero(left & (linked[k] | one[k]))
+            left[near] = False
+            queue.extend(near.tolist())
+            found += [(k, j) for j in near.tolist() if not one[k, j]]
+    i, j = np.array(found, dtype=np.int64).reshape(-1, 2).T
+    return nodes[i], nodes[j]
+
+
+def _in_blocks(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) across the components of large groups (key, node, root)."""
+    sizes = large.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    sizes = sizes.select("key", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("m"))
+    dealt = large.join(sizes, "key").withColumn("p", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    dealt = dealt.select("key", "node", "root", "p", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("q"))
+    dealt = dealt.select("key", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "node", "root").join(sets, "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        a, b = joining_links(t["node"].to_numpy(), t["root"].to_numpy(), t["s"].combine_chunks(), similarity)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return dealt.select("key", "p", "q", "node", "root", "s").groupBy("key", "p", "q").applyInArrow(run, "a long, b long").distinct()
 
 
 def shingle_set(text: Column, width: int = WIDTH) -> tuple[Column, Column]:
@@ -212,15 +248,18 @@ def shingle_set(text: Column, width: int = WIDTH) -> tuple[Column, Column]:
     return words, F.array_distinct(own)
 
 
-def verified(df: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough; each text is read from one row of those that hold it."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialise(nodes.join(needed, "node", "left_semi").select(F.col("node").alias("k"), F.col("least").alias("i")), "wanted")
+def shingle_sets(df: DataFrame, nodes: DataFrame, needed: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
+    """node, s (its shingles) of the nodes in `needed`; each text is read from one row of those that hold it."""
+    wanted = materialise(nodes.join(needed.distinct(), "node", "left_semi").select(F.col("node").alias("k"), F.col("least").alias("i")), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("t"))
     rows = rows.join(wanted, (F.col("node") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
     words, own = shingle_set(F.col("t"), width)
-    sets = materialise(rows.withColumn("w", words).select("node", own.alias("s")).dropDuplicates(["node"]), "shingles")
+    return materialise(rows.withColumn("w", words).select("node", own.alias("s")).dropDuplicates(["node"]), "shingles")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar enough."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.filter(shared >= (F.size("sa") + F.size("sb") - shared) * similarity - 1e-9).select("a", "b")
@@ -229,40 +268,23 @@ def verified(df: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, tex
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, node; nodes: node, least id, root), the root naming the component of near copies."""
 
-    def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _pairs(batches, False, hot_rows)
-
-    def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _pairs(batches, True, hot_rows)
-
-    def block_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _pairs(batches, True, 1 << 40)
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _pairs(batches, hot_rows)
 
     rows = materialise(sketches(df, id_col, text_col, width), "sketches")
     nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.min(f).alias(f) for f in PRINT]), "nodes")
-    own_root = nodes.withColumn("root", F.col("node"))
-    found = materialise(_keyed(own_root).mapInArrow(first_round, PAIR_SCHEMA), "candidates")
-    tried = materialise(found.filter("b IS NOT NULL").select("a", "b").distinct(), "pairs")
-    links = materialise(verified(df, nodes, tried, id_col, text_col, width, similarity), "similar")
+    found = materialise(_keyed(nodes).mapInArrow(candidates, PAIR_SCHEMA), "candidates")
+    pairs = materialise(found.filter("b IS NOT NULL").select("a", "b").distinct(), "pairs")
+    sets = shingle_sets(df, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), id_col, text_col, width)
+    links = materialise(verified(pairs, sets, similarity), "similar")
     roots = components(links)
-    large = found.filter("b IS NULL").select(F.col("a").alias("node")).distinct()
+    large = found.filter("b IS NULL").select(F.col("a").alias("node"), "key")
     if not large.isEmpty():
-        marked = own_root.drop("root").join(large, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        marked = materialise(marked, "marked")
-        more = materialise(_keyed(marked).mapInArrow(second_round, PAIR_SCHEMA), "more")
-        again = more.filter("b IS NOT NULL").select("a", "b")
-        hot = more.filter("b IS NULL")
-        if not hot.isEmpty():
-            # Every pair of blocks of about half of hot_rows meets in one group, so no task holds more.
-            blocks = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 2.2 / hot_rows).cast("int").alias("m"))
-            dealt = hot.join(F.broadcast(blocks), "key").withColumn("p", F.pmod(F.xxhash64("a"), F.col("m")).cast("int"))
-            dealt = dealt.select("a", "key", "p", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("q"))
-            dealt = dealt.select(F.col("a").alias("node"), F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q")).alias("key")).join(marked, "node")
-            dealt = dealt.select("key", "node", "f0", "f1", "root").repartition("key").sortWithinPartitions("key")
-            again = again.unionByName(dealt.mapInArrow(block_round, PAIR_SCHEMA).select("a", "b"))
-        again = materialise(again.distinct().join(tried, ["a", "b"], "left_anti"), "again")
-        if not again.isEmpty():
-            roots = components(links.unionByName(verified(df, nodes, again, id_col, text_col, width, similarity)))
+        large = materialise(large.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "large")
+        sets = shingle_sets(df, nodes, large.select("node"), id_col, text_col, width)
+        more = materialise(_in_blocks(large, sets, similarity), "joining")
+        if not more.isEmpty():
+            roots = components(links.unionByName(more))
     return rows.select("doc_id", "node"), nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
 
 

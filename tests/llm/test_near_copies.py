@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from stratalog.llm import near_copies
@@ -27,6 +29,7 @@ def corpus(seed, bases, copies, words=120):
 @pytest.mark.parametrize("bases,copies,all_pairs,hot", [(30, 4, 24, 50_000), (3, 60, 2, 16)])
 def test_components_equal_brute_force(spark, monkeypatch, bases, copies, all_pairs, hot):
     monkeypatch.setattr(near_copies, "ALL_PAIRS", all_pairs)
+    monkeypatch.setattr(near_copies, "BLOCK_NODES", hot)
     rows = corpus(bases * 7 + copies, bases, copies)
     df = spark.createDataFrame(rows + [(None, None), (5, rows[0][1]), (5, rows[0][1])], "doc_id long, text string")
     got = [tuple(r) for r in near_copies.near_copies(df, hot_rows=hot).collect()]
@@ -73,3 +76,25 @@ def test_sketch():
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert near_copies.near_copies(none).collect() == [] and near_copies.one_of_each(none).collect() == []
+
+
+def test_joining_links_against_brute_force():
+    r = random.Random(8)
+    base = [f"s{k}" for k in range(40)]
+    found = [set(base) - set(r.sample(base, r.randint(0, 6))) | {f"own{i}-{k}" for k in range(r.randint(0, 3))} for i in range(60)] + [set(), set()]
+    number = {x: k for k, x in enumerate(sorted(set().union(*found)))}
+    sets = pa.array([sorted(number[x] for x in f) for f in found], pa.list_(pa.int64()))
+    nodes, roots = np.arange(100, 162), np.array([i // 3 for i in range(62)])
+    a, b = near_copies.joining_links(nodes, roots, sets)
+    similar = [(i, j) for i in range(62) for j in range(i) if len(found[i] & found[j]) >= 0.8 * len(found[i] | found[j]) - 1e-9]
+
+    def joined(edges):
+        root = list(range(62))
+        for i, j in [(i, 3 * (i // 3)) for i in range(62)] + edges:
+            x, y = root[i], root[j]
+            root = [x if z == y else z for z in root]
+        return root
+
+    links = [(i - 100, j - 100) for i, j in zip(a.tolist(), b.tolist())]
+    assert all((max(x), min(x)) in similar for x in links) and len(links) < len(nodes)
+    assert len(set(joined(links))) == len(set(joined(similar))) < 21

@@ -46,6 +46,38 @@ def test_automaton_equals_the_library():
         assert auto.decode(want) == lib.decode(want, skip_special_tokens=False) == t
 
 
+def test_transitions_are_compiled_once_and_looked_up(monkeypatch):
+    lib = tokenizers.Tokenizer.from_file(BYTE_LEVEL)
+    auto = bpe_codec.TokenAutomaton(bpe_codec.vocabulary(BYTE_LEVEL))
+    words = [w for t in mixtures(200, 7) for w in auto.vocab.words(t)]
+    want = [auto.word_ids(w.encode()) for w in words]
+    assert len(auto.states) > 50 and len(auto.number) == len(auto.states)
+    # Every transition that was crossed is in the table: nothing is compiled again.
+    monkeypatch.setattr(auto, "_compile", None)
+    assert [auto.word_ids(w.encode()) for w in words] == want
+    monkeypatch.undo()
+    monkeypatch.setattr(bpe_codec, "STATES", 20)
+    auto._start()
+    for w in words:
+        assert auto.word_ids(w.encode()) == lib.encode(w, add_special_tokens=False).ids
+        assert len(auto.states) <= 21
+
+
+def test_gadgets_take_the_arcs_that_merges_forbid():
+    """An arc (u, v) stands exactly if the library leaves the two tokens as they are."""
+    lib = tokenizers.Tokenizer.from_file(BYTE_LEVEL)
+    auto = bpe_codec.automaton(BYTE_LEVEL)
+    r = random.Random(11)
+    plain = [i for i, label in auto.labels.items() if label.isalpha() and label.isascii() and i in auto.birth]
+    stands = 0
+    for _ in range(3000):
+        u, v = r.choice(plain), r.choice(plain)
+        want = lib.encode((auto.labels[u] + auto.labels[v]).decode(), add_special_tokens=False).ids == [u, v]
+        assert auto._arc(u, v) == want
+        stands += want
+    assert 100 < stands < 2900
+
+
 def test_automaton_decodes_broken_utf8_like_the_library():
     lib = tokenizers.Tokenizer.from_file(BYTE_LEVEL)
     auto = bpe_codec.automaton(BYTE_LEVEL)
