@@ -9,19 +9,25 @@ shard of two files, written by one task:
 * `<shard>.idx`: a minimal perfect hash index over the document keys.  A key
   is hashed into a bucket; the bucket's seed sends each of its keys to a slot
   of its own among exactly as many slots as there are keys (a lone key's seed
-  is its slot).  A slot holds the
-  key's 64-bit fingerprint, its place in key order, and the offset and length
-  of its ids.  A lookup reads one seed and one slot, whatever the shard's size;
-  the fingerprint turns away keys that are not in it.
+  is its slot).  A slot holds the key's 64-bit fingerprint, the offset and the
+  length of its ids.  A lookup reads the header, one seed and one slot by
+  their places in the file, whatever the shard's size; the fingerprint turns
+  away keys that are not in it.
 
-Repeated keys share one slot; the slot then names the first of the adjacent
-documents and how many there are.  A null key is stored like a key of its own
-and sorts first.
+Repeated keys share one slot; its length is then the place of the adjacent
+documents' lengths in a table behind the slots.  After that come the keys in
+order, for whoever reads all.  A null key is stored like a key of its own and
+sorts first.  The manifest has each shard's first and last key, which leads
+from a key to its shards (several only if a key has very many documents).
 
 A task writes under a name of its own and then renames, so a task that is run
 again after an executor was lost leaves the same two files.  Ids come from the
-tokenizers library word by word (its pre-split makes words independent), and a
-null text is the empty text.
+tokenizers library word by word (its pre-split makes words independent).
+
+Defined results: a null text is the empty text; texts of any length are stored
+whole; documents of one key come in the order of their text's hash, repeated
+rows once each; an empty table gives no shard and no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -36,15 +42,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import new_path, python_ready
+from .storage import materialise, new_path, python_ready
 from .vocab import WordTable, resident, vocabulary
 
 MAGIC = b"SLTOKID1"
-HEADER = struct.Struct("<8sIIQQ")  # magic, id width, buckets, slots, documents
-SLOT = np.dtype([("print", "<u8"), ("place", "<u4"), ("count", "<u4")])
+HEADER = struct.Struct("<8sIIQQQ")  # magic, id width, buckets, slots, lengths of repeated keys, null keys (0 or 1)
+SLOT = np.dtype([("print", "<u8"), ("start", "<u8"), ("length", "<u8"), ("count", "<u4")])
 SPAN = np.dtype([("key", "<i8"), ("null", "u1"), ("start", "<u8"), ("n", "<u8")])
 #: Keys per bucket of the index, on average.
 BUCKET_KEYS = 4
@@ -141,67 +147,131 @@ def perfect_hash(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def slot_of(prints: np.ndarray, seeds: np.ndarray, n: int) -> np.ndarray:
     """The slot of each fingerprint under an index of `n` slots."""
-    own = seeds[(mixed(prints, 0) % np.uint64(len(seeds))).astype(np.int64)]
+    return seeded(prints, seeds[(mixed(prints, 0) % np.uint64(len(seeds))).astype(np.int64)], n)
+
+
+def seeded(prints: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """The slot of each fingerprint under its own bucket's seed."""
     hashed = (mixed(prints, own) % np.uint64(n)).astype(np.int64)
     return np.where(own & DIRECT, (own & ~DIRECT).astype(np.int64), hashed)
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a shared folder's URI and the path in it."""
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    """The file system of a folder's URI and the path in it; `new_path` gives URIs with a scheme."""
+    return fs.FileSystem.from_uri(uri)
 
 
 def index_bytes(spans: np.ndarray, width: int) -> bytes:
     """The index file of a shard whose documents stand in key order."""
     first = np.flatnonzero(np.r_[True, (spans["key"][1:] != spans["key"][:-1]) | (spans["null"][1:] != spans["null"][:-1])]) if len(spans) else np.zeros(0, np.int64)
-    keys = [None if spans["null"][i] else int(spans["key"][i]) for i in first]
-    prints = key_hashes(keys)
+    null = spans["null"][first].astype(bool)
+    prints = key_hashes([None if none else int(k) for k, none in zip(spans["key"][first], null)])
     seeds, slots = perfect_hash(prints)
+    count = np.diff(np.r_[first, len(spans)])
+    several = np.repeat(count > 1, count)
+    length = np.where(count > 1, np.cumsum(np.where(count > 1, count, 0)) - count, spans["n"][first].astype(np.int64))
     table = np.zeros(len(first), dtype=SLOT)
-    table["print"][slots], table["place"][slots] = prints, first
-    table["count"][slots] = np.diff(np.r_[first, len(spans)])
+    for name, values in (("print", prints), ("start", spans["start"][first]), ("length", length), ("count", count)):
+        table[name][slots] = values
     out = io.BytesIO()
-    out.write(HEADER.pack(MAGIC, width, len(seeds), len(table), len(spans)))
-    for part in (seeds.astype("<u4"), table, spans):
+    out.write(HEADER.pack(MAGIC, width, len(seeds), len(table), int(several.sum()), int(null.any())))
+    for part in (seeds.astype("<u4"), table, spans["n"][several].astype("<u8"), spans["key"][first].astype("<i8")):
         out.write(part.tobytes())
     return out.getvalue()
 
 
 class Shard:
-    """One shard, opened for keyed access."""
+    """One shard, opened for keyed access; only the header is read until a key is asked for."""
 
     def __init__(self, folder: str, name: str):
-        self.fs, path = file_system(f"{folder}/{name}")
-        with self.fs.open_input_file(f"{path}.idx") as f:
-            magic, width, buckets, n_slots, n_docs = HEADER.unpack(f.read(HEADER.size))
-            if magic != MAGIC:
-                raise ValueError(f"{name}.idx is no index of this format")
-            self.seeds = np.frombuffer(f.read(4 * buckets), "<u4")
-            self.slots = np.frombuffer(f.read(SLOT.itemsize * n_slots), SLOT)
-            self.spans = np.frombuffer(f.read(SPAN.itemsize * n_docs), SPAN)
+        self.fs, self.path = file_system(f"{folder}/{name}")
+        self.index, self.payload = (self.fs.open_input_file(f"{self.path}.{kind}") for kind in ("idx", "ids"))
+        magic, width, self.buckets, self.n, n_lengths, self.nulls = HEADER.unpack(self._read(0, HEADER.size))
+        if magic != MAGIC:
+            raise ValueError(f"{name}.idx is no index of this format")
         self.kind = np.dtype(f"<u{width}")
-        self.path = path
-
-    def find(self, key: int | None) -> np.ndarray:
-        """The spans of a key's documents: one seed, one slot, one comparison."""
-        if not len(self.slots):
-            return self.spans[:0]
-        p = key_hashes([key])
-        slot = self.slots[slot_of(p, self.seeds, len(self.slots))[0]]
-        return self.spans[slot["place"] : slot["place"] + slot["count"]] if slot["print"] == p[0] else self.spans[:0]
+        self.at_slots = HEADER.size + 4 * self.buckets
+        self.at_lengths = self.at_slots + SLOT.itemsize * self.n
+        self.at_keys = self.at_lengths + 8 * n_lengths
+
+    def _read(self, at: int, size: int) -> bytes:
+        return self.index.read_at(size, at)
+
+    def close(self) -> None:
+        self.index.close()
+        self.payload.close()
+
+    def keys(self, at: int, n: int) -> list[int | None]:
+        """Keys in order, from the at-th on."""
+        found: list[int | None] = np.frombuffer(self._read(self.at_keys + 8 * at, 8 * min(n, self.n - at)), "<i8").tolist()
+        if self.nulls and at == 0 and found:
+            found[0] = None
+        return found
+
+    def _spans(self, slot: np.void, own: np.uint64) -> list[tuple[int, int]]:
+        """(offset, length) of each document of a slot, none if its fingerprint is another key's."""
+        if slot["print"] != own:
+            return []
+        start, length, count = int(slot["start"]), int(slot["length"]), int(slot["count"])
+        if count == 1:
+            return [(start, length)]
+        lengths = np.frombuffer(self._read(self.at_lengths + 8 * length, 8 * count), "<u8").astype(np.int64)
+        return list(zip((start + np.cumsum(lengths) - lengths).tolist(), lengths.tolist()))
+
+    def find(self, key: int | None) -> list[tuple[int, int]]:
+        """(offset, length) of a key's documents: one seed, one slot, one comparison."""
+        if not self.n:
+            return []
+        own = key_hashes([key])
+        bucket = int(mixed(own, 0)[0] % np.uint64(self.buckets))
+        seed = np.frombuffer(self._read(HEADER.size + 4 * bucket, 4), "<u4")
+        place = int(seeded(own, seed, self.n)[0])
+        slot = np.frombuffer(self._read(self.at_slots + SLOT.itemsize * place, SLOT.itemsize), SLOT)[0]
+        return self._spans(slot, own[0])
+
+    def find_all(self, batch: int = 4096) -> Iterator[tuple[int | None, int, int]]:
+        """(key, offset, length) of every document in key order, each found by its key through the index."""
+        seeds = np.frombuffer(self._read(HEADER.size, 4 * self.buckets), "<u4")
+        slots = np.frombuffer(self._read(self.at_slots, SLOT.itemsize * self.n), SLOT)
+        for at in range(0, self.n, batch):
+            keys = self.keys(at, batch)
+            own = key_hashes(keys)
+            for key, p, slot in zip(keys, own, slots[slot_of(own, seeds, self.n)]):
+                spans = self._spans(slot, p)
+                if not spans:
+                    raise ValueError(f"{self.path}.idx does not lead to its own key {key}")
+                for start, n in spans:
+                    yield key, start, n
+
+    def read(self, start: int, n: int) -> np.ndarray:
+        """The raw ids at an offset."""
+        return np.frombuffer(self.payload.read_at(n * self.kind.itemsize, start * self.kind.itemsize), self.kind)
 
     def ids(self, key: int | None) -> list[np.ndarray]:
         """The raw ids of each document with this key."""
-        with self.fs.open_input_file(f"{self.path}.ids") as f:
-            out = []
-            for s in self.find(key):
-                f.seek(int(s["start"]) * self.kind.itemsize)
-                out.append(np.frombuffer(f.read(int(s["n"]) * self.kind.itemsize), self.kind))
-            return out
+        return [self.read(start, n) for start, n in self.find(key)]
+
+
+class Store:
+    """All shards of a folder for keyed access, by the rows of the manifest, one per shard."""
+
+    def __init__(self, folder: str, manifest: DataFrame):
+        rows = manifest.select("shard", "name", "null_first", "first_key", "last_key").orderBy("shard").collect()
+        self.folder, self.rows = folder, rows
+
+    def ids(self, key: int | None) -> list[np.ndarray]:
+        """The raw ids of each document with this key; only shards whose range holds it are opened."""
+        out = []
+        for r in self.rows:
+            if r["null_first"] if key is None else r["first_key"] is not None and r["first_key"] <= key <= r["last_key"]:
+                shard = Shard(self.folder, r["name"])
+                out += shard.ids(key)
+                shard.close()
+        return out
 
 
 def write_shards(df: DataFrame, folder: str, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, end_id: int = END_ID) -> DataFrame:
-    """Write shards in ascending key order; returns shard, name, n_docs, n_tokens, one row each.
+    """Write shards in ascending key order; returns shard, name, n_docs, n_tokens, null_first, first_key, last_key, one row each.
 
     The result is lazy: evaluating it writes the files, so write it out once.
     The range shuffle spreads a heavily repeated key by its text's hash.
@@ -237,34 +307,37 @@ def write_shards(df: DataFrame, folder: str, vocab_path: str, id_col: str = "doc
                 f.write(index_bytes(np.array(spans, dtype=SPAN), width))
             for kind in ("ids", "idx"):
                 system.move(f"{own}.{kind}", f"{path}/{name}.{kind}")
-            yield pa.RecordBatch.from_pydict({"shard": [part], "name": [name], "n_docs": [len(spans)], "n_tokens": [at]}, schema=pa.schema([("shard", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            keys = [k for k, none, *_ in spans if not none]
+            kinds = [("shard", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("null_first", pa.bool_()), ("first_key", pa.int64()), ("last_key", pa.int64())]
+            row = [part, name, len(spans), at, bool(spans[0][1]), keys[0] if keys else None, keys[-1] if keys else None]
+            yield pa.RecordBatch.from_pylist([dict(zip([c for c, _ in kinds], row))], schema=pa.schema(kinds))
 
-    return ranged.mapInArrow(run, "shard int, name string, n_docs long, n_tokens long")
+    return ranged.mapInArrow(run, "shard int, name string, n_docs long, n_tokens long, null_first boolean, first_key long, last_key long")
 
 
 def read_shards(manifest: DataFrame, folder: str, batch_docs: int = 4096) -> DataFrame:
-    """doc_id, shard, local_start, n_tokens, ids_crc32 of every stored document, through each shard's index.
+    """doc_id, start, n_tokens, ids_crc32, shard of every stored document, each found by its key through its shard's index.
 
-    The crc is of the ids as little-endian unsigned 32-bit integers.  One task
-    holds one shard's index and one document's ids at a time.
+    `manifest` has shard, name and base, the ids in all shards before.  The crc
+    is of the ids as little-endian unsigned 32-bit integers.  One task holds
+    one shard's index and one document's ids at a time.
     """
+    kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("shard", pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                shard = Shard(folder, name)
-                with shard.fs.open_input_stream(f"{shard.path}.ids") as f:
-                    for i in range(0, len(shard.spans), batch_docs):
-                        own = shard.spans[i : i + batch_docs]
-                        crc = []
-                        for s in own:
-                            ids = np.frombuffer(f.read(int(s["n"]) * shard.kind.itemsize), shard.kind)
-                            crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                        yield pa.RecordBatch.from_arrays([pa.array(own["key"], mask=own["null"].astype(bool)), pa.array([part] * len(own), pa.int32()), pa.array(own["start"].astype("i8")), pa.array(own["n"].astype("i8")), pa.array(crc, pa.int64())], ["doc_id", "shard", "local_start", "n_tokens", "ids_crc32"])
-
-    # A shard per task: the manifest has a short row for each.
-    dealt = manifest.select("shard", "name").repartition("shard")
-    return dealt.mapInArrow(run, "doc_id long, shard int, local_start long, n_tokens long, ids_crc32 long")
+            for part, name, base in zip(*(c.to_pylist() for c in b.columns)):
+                shard, rows = Shard(folder, name), []
+                for key, start, n in shard.find_all():
+                    rows.append((key, base + start, n, zlib.crc32(shard.read(start, n).astype("<u4").tobytes()), part))
+                    if len(rows) >= batch_docs:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), kinds)], [c for c, _ in kinds])
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), kinds)], [c for c, _ in kinds])
+                shard.close()
+
+    return manifest.select("shard", "name", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
 
 
 def stored_documents(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
@@ -273,13 +346,10 @@ def stored_documents(df: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
     `start` counts the ids of all documents before: a running sum over the
     manifest's rows, one per shard, plus the place in the shard.
     """
-    from pyspark.sql import Window
-
-    from .storage import materialise
-
     folder = new_path(df.sparkSession, "ids")
     manifest = materialise(write_shards(df, folder, vocab_path, id_col, text_col, shards), "manifest")
     # One row per shard: the running sum needs them in one place, and they are as few as the files.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = manifest.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    return read_shards(manifest, folder).join(base, "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "shard")
+    based = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    # A task for each shard, dealt by turns.
+    return read_shards(based.repartition(max(1, manifest.count())), folder)

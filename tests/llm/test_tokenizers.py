@@ -152,6 +152,40 @@ def test_keyed_access(spark):
         assert lib.encode(t, add_special_tokens=False).ids + [1] in found
     assert sum(len(s.ids(8)) for s in opened) == 2
     assert all(not s.ids(k) for s in opened for k in (1, 3, 999, None))
+    manifest = spark.createDataFrame(shards)
+    store = token_store.Store(folder, manifest)
+    for k in (0, 8, 100, 398):
+        assert [x.tolist() for x in store.ids(k)] == [x.tolist() for s in opened for x in s.ids(k)] != []
+    assert store.ids(1) == store.ids(None) == store.ids(-5) == []
+
+
+def test_a_lookup_reads_one_seed_and_one_slot(spark, monkeypatch):
+    folder = token_store.new_path(spark, "test-reads")
+    rows = [(k, f"text number {k}", "en", 0) for k in range(3000)] + [(7, "again", "en", 0), (None, "no key", "en", 0)]
+    (row,) = token_store.write_shards(spark.createDataFrame(rows, schema()), folder, WORD_END, shards=1).collect()
+    assert (row.null_first, row.first_key, row.last_key) == (True, 0, 2999)
+    shard, read = token_store.Shard(folder, row.name), []
+    plain = shard._read
+    monkeypatch.setattr(shard, "_read", lambda at, size: read.append(size) or plain(at, size))
+    for k, more in ((0, []), (1234, []), (2999, []), (None, []), (7, [16]), (-1, [])):
+        read.clear()
+        shard.find(k)
+        assert read == [4, token_store.SLOT.itemsize, *more]
+    assert len(shard.find(7)) == 2 and len(shard.find(None)) == 1 and shard.find(-1) == []
+
+
+def test_a_wrong_index_shows(spark):
+    folder = token_store.new_path(spark, "test-wrong")
+    rows = [(k, f"text number {k}", "en", 0) for k in range(50)]
+    (row,) = token_store.write_shards(spark.createDataFrame(rows, schema()), folder, WORD_END, shards=1).collect()
+    shard = token_store.Shard(folder, row.name)
+    assert len(list(shard.find_all())) == 50
+    path = f"{shard.path}.idx"
+    raw = bytearray(open(path, "rb").read())
+    raw[shard.at_slots] ^= 1  # a fingerprint
+    open(path, "wb").write(raw)
+    with pytest.raises(ValueError, match="does not lead"):
+        list(token_store.Shard(folder, row.name).find_all())
 
 
 def test_empty_store(spark):
