@@ -3,21 +3,34 @@
 For each language a suffix automaton is built over a bounded sample of its
 labelled text.  A document is parsed against each automaton from left to
 right: each phrase is the longest match that occurs in the language's sample.
-The fewer phrases, the closer the language; c phrases against a sample of m
-symbols cost c * ln(m), which normalises for samples of different lengths, and
-the cheapest language wins.  `score` is that language's share of the weights
+The fewer phrases, the closer the language.  Phrases are normalised: one that
+occurs in a sample of m symbols costs ln(2 m), the place it is copied from and
+a flag; a symbol that the sample lacks costs ln(2 A), A being the number of
+different symbols of all samples.  So a tiny sample pays for the letters it
+lacks.  The cheapest language wins; `score` is its share of the weights
 exp(-cost) over all languages.
 
-Text is lower-cased; a run of anything but letters is one symbol between
-words.  The automata are completed into transition tables, so many documents
-advance in lock step, one table look-up per symbol and language.  A parse
-starts anew every `BLOCK` symbols, for every language alike, which lets long
-documents run in parallel lanes and bounds memory.
+Text is lower-cased, a run of anything but letters is one space, and symbols
+are the UTF-8 bytes of that, which bounds every table by 256 columns whatever
+the alphabet.  The automata are completed into transition tables, so many
+documents advance in lock step, one table look-up per symbol and language.
+Long documents are cut into blocks of `BLOCK` symbols that advance side by
+side, each from the start state; then each block is parsed again from the
+state its predecessor ended in, until a phrase starts where one started
+before, and so on until nothing changes: the counts are those of one parse
+from the first symbol to the last.
 
 Defined results: null texts and texts without a letter are `und` with score 0;
-ties go to the first language in order; letters that no sample has are phrases
-of their own; without any labelled text every row is `und`.  Bounds on what is
-learned from: `DOCS` documents per language and `CHARS` symbols of sample.
+texts of any length are parsed whole; ties go to the first language in order;
+a language whose sample has no letter is not learned, and without any learned
+language every row is `und`; rows that repeat an id or have none come out once
+each; an empty table gives no rows; other columns are not read.
+
+Bounds on what is learned from: `DOCS` labelled documents per language, those
+of the least hashes, and of each a window of `CHARS` / `DOCS` characters at a
+place that goes by the hash.  A language then takes up to 50 MB in a Python
+worker, 10 MB where its text has the 50 or so different bytes of a European
+one.
 """
 
 from __future__ import annotations
@@ -33,44 +46,31 @@ from .storage import python_ready
 from .vocab import resident
 
 UNDECIDED = "und"
-#: Labelled documents sampled per language, and the letters kept of each and of all.
-DOCS, DOC_CHARS, CHARS = 48, 2_000, 24_000
-#: Symbols after which a parse starts anew.
+#: Labelled documents sampled per language, and characters learned from in all.
+DOCS, CHARS = 48, 24_000
+#: Symbols that a lane takes before the next lane begins.
 BLOCK = 512
 #: Symbols whose lanes advance together; bounds memory.
 LANE_SYMBOLS = 8_000_000
 
 
-class Letters:
-    """Code points to symbols: 0 between words, 1 and up for known letters, `other` for the rest."""
-
-    def __init__(self, alphabet: str):
-        self.other = len(alphabet) + 1
-        self.size = self.other + 1
-        self.table = np.full(0x110000, -1, dtype=np.int16)
-        self.table[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
-
-    def symbols(self, text: str) -> np.ndarray:
-        """Symbols of a lower-cased text, runs of non-letters as one."""
-        codes = np.frombuffer(text.lower().encode("utf-32-le"), dtype="<u4")
-        out = self.table[codes]
-        if (out < 0).any():
-            for c in np.unique(codes[out < 0]).tolist():
-                self.table[c] = self.other if chr(c).isalpha() else 0
-            out = self.table[codes]
-        if not len(out):
-            return out
-        gap = out == 0
-        keep = ~gap
-        keep[1:] |= ~gap[:-1]
-        return out[keep]
+_ASCII = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(256))
+#: 1 for letters, 0 for others, -1 for code points not met yet.
+_is_letter = np.full(0x110000, -1, dtype=np.int8)
 
 
-def trimmed(symbols: np.ndarray) -> np.ndarray:
-    """Without a separator at either end."""
-    a = int(len(symbols) > 0 and symbols[0] == 0)
-    b = len(symbols) - int(len(symbols) > a and symbols[-1] == 0)
-    return symbols[a:b]
+def letters_only(text: str) -> bytes:
+    """Lower-cased letters, runs of anything else as one space, none at either end."""
+    if text.isascii():
+        return b" ".join(text.encode().translate(_ASCII).split())
+    codes = np.frombuffer(text.lower().encode("utf-32-le"), dtype="<u4")
+    kind = _is_letter[codes]
+    if (kind < 0).any():
+        for c in np.unique(codes[kind < 0]).tolist():
+            _is_letter[c] = chr(c).isalpha()
+        kind = _is_letter[codes]
+    plain = np.where(kind == 1, codes, 32).astype("<u4").tobytes().decode("utf-32-le")
+    return b" ".join(plain.encode().split())
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -120,50 +120,92 @@ class CrossParser:
     """Automata of all languages."""
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
-        self.languages = [name for name, _ in samples]
-        alphabet = "".join(sorted({c for _, text in samples for c in text.lower() if c.isalpha()}))
-        self.letters = Letters(alphabet)
-        parts = [trimmed(self.letters.symbols(text))[:CHARS] for _, text in samples]
-        self.tables = [parse_table(p, self.letters.size) for p in parts]
-        self.cost = np.array([np.log(max(2, len(p))) for p in parts])
+        parts = [(name, letters_only(text)) for name, text in samples]
+        parts = [(name, raw) for name, raw in parts if raw]
+        self.languages = [name for name, _ in parts]
+        used = sorted(set(b"".join(raw for _, raw in parts)))
+        self.size = len(used) + 1  # 0 stands for bytes that no sample has
+        self.number = np.zeros(256, dtype=np.uint8 if self.size <= 256 else np.uint16)
+        self.number[used] = np.arange(1, self.size)
+        own = [self.symbols(raw) for _, raw in parts]
+        self.tables = [parse_table(p, self.size) for p in own]
+        self.phrase_cost = np.array([np.log(2 * len(p)) for p in own])
+        self.lacking = np.array([np.bincount(p, minlength=self.size) == 0 for p in own], dtype=np.int64).reshape(-1, self.size)
+        self.lack_cost = np.log(2 * self.size)
+
+    def symbols(self, raw: bytes) -> np.ndarray:
+        return self.number[np.frombuffer(raw, np.uint8)]
 
     def phrases(self, docs: list[np.ndarray]) -> np.ndarray:
         """Phrase counts [document, language]."""
         out = np.zeros((len(docs), len(self.tables)), dtype=np.int64)
         lengths = np.array([len(d) for d in docs], dtype=np.int64)
         lanes = -(-lengths // BLOCK)
-        if not lanes.sum():
+        n = int(lanes.sum())
+        if not n:
             return out
         doc_of = np.repeat(np.arange(len(docs)), lanes)
-        place = np.arange(len(doc_of)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        place = np.arange(n) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         lane_len = np.minimum(lengths[doc_of] - place * BLOCK, BLOCK)
-        grid = np.zeros((len(doc_of), BLOCK), dtype=np.int16)
+        grid = np.zeros((n, BLOCK), dtype=self.number.dtype)
         at = 0
-        for d, n in zip(docs, lanes.tolist()):
-            if n:
-                flat = grid[at : at + n].reshape(-1)
-                flat[: len(d)] = d
-                at += n
+        for d, k in zip(docs, lanes.tolist()):
+            if k:
+                grid[at : at + k].reshape(-1)[: len(d)] = d
+                at += k
+        # Lanes by falling length, so those that still run are the first ones; a column for each lane.
         order = np.argsort(-lane_len, kind="stable")
         grid = np.ascontiguousarray(grid[order].T)
-        active = np.searchsorted(-lane_len[order], -np.arange(BLOCK), side="left")
-        size = self.letters.size
+        doc_of, lane_len, place = doc_of[order], lane_len[order], place[order]
+        follower = np.full(n, -1)
+        where = np.empty(n, dtype=np.int64)
+        where[order] = np.arange(n)
+        follower[where[:-1]] = where[1:]
+        follower[doc_of[follower] != doc_of] = -1
+        active = np.searchsorted(-lane_len, -np.arange(BLOCK), side="left")
         for k, table in enumerate(self.tables):
-            state = np.zeros(len(order), dtype=np.int32)
-            count = np.zeros(len(order), dtype=np.int32)
+            out[:, k] = np.bincount(doc_of, weights=self._lanes(table, grid, active, lane_len, follower), minlength=len(docs)).astype(np.int64)
+        return out
+
+    def _lanes(self, table: np.ndarray, grid: np.ndarray, active: np.ndarray, lane_len: np.ndarray, follower: np.ndarray) -> np.ndarray:
+        """Phrases that start in each lane when every lane goes on where its predecessor ended."""
+        n, size = grid.shape[1], self.size
+        state = np.zeros(n, dtype=np.int32)
+        starts = np.zeros(grid.shape, dtype=bool)
+        for t in range(int(lane_len[0])):
+            m = int(active[t])
+            v = table[state[:m] * size + grid[t, :m]]
+            state[:m] = v >> 1
+            starts[t, :m] = v & 1
+        fresh = starts.sum(axis=0)
+        count, end = fresh.copy(), state.copy()
+        begun = np.flatnonzero(follower >= 0)  # lanes whose end has not been handed on yet
+        while len(begun):
+            lane, come = follower[begun], end[begun]
+            more = np.zeros(len(lane), dtype=np.int64)  # phrases from the handed state, less those from the start state
+            last = state[lane].copy()  # where the lane ends: as from the start state once both parses meet
+            run = np.arange(len(lane))
             for t in range(BLOCK):
-                n = int(active[t])
-                if not n:
+                over = lane_len[lane[run]] <= t
+                last[run[over]] = come[run[over]]
+                run = run[~over]
+                if not len(run):
                     break
-                v = table[state[:n] * size + grid[t, :n]]
-                state[:n] = v >> 1
-                count[:n] += v & 1
-            out[:, k] = np.bincount(doc_of[order], weights=count, minlength=len(docs)).astype(np.int64)
-        return out
+                v = table[come[run] * size + grid[t, lane[run]]]
+                come[run] = v >> 1
+                begins, began = v & 1, starts[t, lane[run]]
+                more[run] += begins - began.astype(np.int64)
+                run = run[(begins == 0) | ~began]  # where a phrase begins in both they are one from here on
+            last[run] = come[run]
+            count[lane] = fresh[lane] + more
+            changed = lane[last != end[lane]]
+            end[lane] = last
+            begun = changed[follower[changed] >= 0]
+        return count
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text."""
-        docs = [trimmed(self.letters.symbols(t)) if t else np.zeros(0, np.int16) for t in texts]
+        docs = [self.symbols(letters_only(t)) if t else np.zeros(0, np.uint8) for t in texts]
         names, scores = [UNDECIDED] * len(docs), [0.0] * len(docs)
         if not self.languages:
             return names, scores
@@ -173,11 +215,14 @@ class CrossParser:
             while end < len(docs) and (end == at or total + len(docs[end]) <= LANE_SYMBOLS):
                 total += len(docs[end])
                 end += 1
-            bits = self.phrases(docs[at:end]) * self.cost
-            best = bits.argmin(axis=1)
-            share = 1 / np.exp(np.maximum(bits.min(axis=1, keepdims=True) - bits, -700)).sum(axis=1)
+            own = docs[at:end]
+            lacking = np.array([np.bincount(d, minlength=self.size) for d in own]) @ self.lacking.T
+            # A symbol that the sample lacks is a phrase of its own.
+            cost = (self.phrases(own) - lacking) * self.phrase_cost + lacking * self.lack_cost
+            best = cost.argmin(axis=1)
+            share = 1 / np.exp(np.maximum(cost.min(axis=1, keepdims=True) - cost, -700)).sum(axis=1)
             for k in range(end - at):
-                if len(docs[at + k]):
+                if len(own[k]):
                     names[at + k], scores[at + k] = self.languages[best[k]], float(share[k])
             at = end
         return names, scores
@@ -191,14 +236,18 @@ def learn(df: DataFrame, where: Column | None = None, id_col: str = "doc_id", te
     """(language, sample text) for each labelled language.
 
     The sample's rows are chosen from ids and labels alone (the least hashes of
-    each language), so one narrow scan finds them and a second reads their text.
+    each language), so one narrow scan finds them and a second reads a window of
+    their text.  A language has as many ids sampled as `DOCS`, and as many rows.
     """
     rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.filter(where) if where is not None else rows
     least = Window.partitionBy("lang").orderBy("h", "k")
     keyed = rows.select(F.col(id_col).alias("k"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.lit(5)).alias("h"))
     chosen = [r["k"] for r in keyed.withColumn("r", F.row_number().over(least)).filter(F.col("r") <= DOCS).select("k").distinct().collect()]
-    texts = rows.filter(F.col(id_col).isin(chosen)).select(F.col(lang_col).cast("string").alias("lang"), F.substring(F.col(text_col), 1, DOC_CHARS).alias("t"), F.col(id_col).alias("k")).collect() if chosen else []
+    size = CHARS // DOCS
+    first = F.pmod(F.xxhash64(F.col(id_col), F.lit(6)), F.greatest(F.length(text_col) - size + 1, F.lit(1)).cast("long")).cast("int") + 1
+    window = F.substring(F.col(text_col), first, F.lit(size))
+    texts = rows.filter(F.col(id_col).isin(chosen)).select(F.col(lang_col).cast("string").alias("lang"), window.alias("t"), F.col(id_col).alias("k")).collect() if chosen else []
     found: dict[str, list[str]] = {}
     for r in sorted(texts, key=lambda r: (r["lang"], str(r["k"]), r["t"])):
         own = found.setdefault(r["lang"], [])

@@ -27,24 +27,50 @@ def substrings(seq, longest):
 def test_phrases_equal_brute_force():
     r = random.Random(1)
     p = language_id.CrossParser((("x", "abra cadabra abra"), ("y", "baab ba abab bba")))
-    samples = [substrings(language_id.trimmed(p.letters.symbols(t)).tolist(), 20) for t in ("abra cadabra abra", "baab ba abab bba")]
+    samples = [substrings(p.symbols(language_id.letters_only(t)).tolist(), 20) for t in ("abra cadabra abra", "baab ba abab bba")]
     texts = ["".join(r.choice("abrcd z.é") for _ in range(r.randint(0, 60))) for _ in range(200)]
-    docs = [language_id.trimmed(p.letters.symbols(t)) for t in texts]
+    docs = [p.symbols(language_id.letters_only(t)) for t in texts]
     got = p.phrases(docs)
     assert got.tolist() == [[brute_phrases(d.tolist(), s) for s in samples] for d in docs]
 
 
-def test_blocks_of_long_texts():
-    p = language_id.CrossParser((("x", "abc abd"),))
-    doc = language_id.trimmed(p.letters.symbols("ab" * 3 * language_id.BLOCK))
-    part = doc[: language_id.BLOCK]
-    assert p.phrases([doc])[0, 0] == 6 * p.phrases([part])[0, 0]
-    assert np.array_equal(p.phrases([doc, part, doc[:0]])[:, 0], [p.phrases([doc])[0, 0], p.phrases([part])[0, 0], 0])
+def test_blocks_of_long_texts(monkeypatch):
+    """Counts are those of one parse, wherever the blocks end."""
+    r = random.Random(7)
+    sample = "".join(r.choice("ab c") for _ in range(300))
+    p = language_id.CrossParser((("x", sample), ("y", "abababababababababab cccc")))
+    own = [substrings(p.symbols(language_id.letters_only(t)).tolist(), 40) for t in (sample, "abababababababababab cccc")]
+    texts = ["ab" * 90, "abc" * 50, "", "a", "aab" * 31 + "z" + "ab" * 40] + ["".join(r.choice("abbc z") for _ in range(r.randint(0, 200))) for _ in range(40)]
+    docs = [p.symbols(language_id.letters_only(t)) for t in texts]
+    want = [[brute_phrases(d.tolist(), s) for s in own] for d in docs]
+    for block in (1, 2, 3, 7, 16, 512):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        assert p.phrases(docs).tolist() == want
 
 
 def test_symbols():
+    assert language_id.letters_only("..A  b, 12 \u00df!") == "a b \u00df".encode()
+    assert language_id.letters_only("..A  b, 12 !") == b"a b"
+    assert language_id.letters_only("12 \u2003 !") == b""
     p = language_id.CrossParser((("x", "ab"),))
-    assert language_id.trimmed(p.letters.symbols("..A  b, 12 ß!")).tolist() == [1, 0, 2, 0, p.letters.other]
+    assert p.symbols("a b\u00df".encode()).tolist() == [1, 0, 2, 0, 0]
+
+
+def test_tiny_and_empty_samples_win_nothing():
+    english = "the house of the water and the garden with the people of the land " * 20
+    german = "das haus und der garten mit den leuten an dem wasser und dem land " * 20
+    p = language_id.CrossParser((("de", german), ("empty", "12 34 !"), ("en", english), ("tiny", "ok")))
+    assert p.languages == ["de", "en", "tiny"]
+    names, scores = p.predict(["the people look at the water", "die leute sind in dem haus am wasser", "ok", None, "123"])
+    assert names[:2] == ["en", "de"] and names[3:] == ["und", "und"] and scores[3:] == [0.0, 0.0]
+
+
+def test_memory_of_a_large_alphabet():
+    r = random.Random(3)
+    letters = [chr(0x4E00 + k) for k in range(3000)]
+    p = language_id.CrossParser((("zh", "".join(r.choice(letters) for _ in range(24_000))), ("en", "the house of the water " * 1000)))
+    assert sum(t.nbytes for t in p.tables) < 300_000_000
+    assert p.predict(["".join(letters[40:90]), "the water"])[0] == ["zh", "en"]
 
 
 def test_rows(spark):
