@@ -17,9 +17,16 @@ items' hashes are broadcast up to `MAX_BROADCAST` rows, beyond that the join
 shuffles.
 
 Defined results: documents without an overlap have no row; null and short
-texts and items (fewer words than the shortest seed spans) never overlap;
-rows that repeat an id are reported under it once; repeated items are reported
-under each of their ids; a null id is reported as null.
+texts never overlap; items of `SHORT` to 6 words, fewer than the seeds span,
+are found where they stand word for word, still shorter ones never, as they
+stand everywhere; texts of any length are searched whole; of several equally
+good stretches on a diagonal the first is reported; rows that repeat an id are
+reported under it once; repeated items are reported under each of their ids; a
+null id is reported as null; an empty table gives no rows; other columns are
+not read.
+
+The seeds ignore every 3rd to 6th word or so: an item with each 4th word (or
+rarer) substituted is hit wherever it is 12 words long.
 """
 
 from __future__ import annotations
@@ -29,8 +36,10 @@ from pyspark.sql import functions as F
 
 from .storage import BROADCAST_IDS, drop_rows, materialise
 
-#: Fixed masks: six words of windows of 6 to 10.
-SEEDS = ("111111", "11011011", "1101000111")
+#: Fixed masks: six words of windows of 7 to 10.
+SEEDS = ("1111101", "1111011", "1110111", "1101000111")
+#: Words of the shortest items that are looked for.
+SHORT = 4
 MIN_WORDS = 12
 MIN_SHARE = 0.8
 MISMATCH = 2
@@ -44,16 +53,21 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), PARTS), lambda w: w != "")
 
 
-def _seed_hashes(known: bool) -> Column:
-    """SQL over `w` (words) and, if `known`, `f` (word is in the vocabulary): array of (h, i) for all seeds."""
+def _seed_hashes(known: bool, short: list[int], whole: bool) -> Column:
+    """SQL over `w` (words) and, if `known`, `f` (word is in the vocabulary): array of (h, i) for all seeds.
+
+    For each length in `short` all windows of it are hashed, or if `whole` only texts of just that length.
+    """
     parts = []
-    for k, seed in enumerate(SEEDS):
+    masks = [(seed, f"size(w) >= {len(seed)}") for seed in SEEDS]
+    masks += [("1" * n, f"size(w) {'=' if whole else '>='} {n}") for n in short]
+    for k, (seed, test) in enumerate(masks):
         ones = [j for j, c in enumerate(seed) if c == "1"]
         words = ", ".join(f"w[i + {j}]" for j in ones)
-        places = f"if(size(w) >= {len(seed)}, sequence(0, size(w) - {len(seed)}), cast(array() as array<int>))"
+        places = f"if({test}, sequence(0, size(w) - {len(seed)}), cast(array() as array<int>))"
         if known:
             places = f"filter({places}, i -> " + " and ".join(f"f[i + {j}]" for j in ones) + ")"
-        parts.append(f"transform({places}, i -> named_struct('h', xxhash64({k}, {words}), 'i', i))")
+        parts.append(f"transform({places}, i -> named_struct('h', xxhash64({k if k < len(SEEDS) else -len(seed)}, {words}), 'i', i))")
     return F.expr(f"concat({', '.join(parts)})")
 
 
@@ -77,7 +91,9 @@ def _overlap() -> Column:
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, n_match, item_words, first_word, last_word: one row per verified diagonal."""
     bench = materialise(items.select(F.col(item_col).cast("long").alias("item_id"), words_of(F.col(item_text_col)).alias("b")).filter(F.size("b") > 0), "items")
-    hashed = materialise(bench.withColumnRenamed("b", "w").select("item_id", F.explode(_seed_hashes(False)).alias("e")).select("item_id", F.col("e.h").alias("h"), F.col("e.i").alias("j")), "item_hashes")
+    span = min(map(len, SEEDS))
+    short = sorted(r[0] for r in bench.select(F.size("b").alias("n")).filter((F.col("n") >= SHORT) & (F.col("n") < span)).distinct().collect())
+    hashed = materialise(bench.withColumnRenamed("b", "w").select("item_id", F.explode(_seed_hashes(False, short, True)).alias("e")).select("item_id", F.col("e.h").alias("h"), F.col("e.i").alias("j")), "item_hashes")
     vocabulary = bench.select(F.explode("b").alias("w")).distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     n_words = vocabulary.count()
@@ -86,7 +102,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     if known:
         names = [r["w"] for r in vocabulary.collect()]
         keyed = keyed.withColumn("f", F.transform("w", lambda x: x.isin(names) if names else F.lit(False)))
-    keyed = keyed.select("doc_id", F.explode(_seed_hashes(known)).alias("e")).select("doc_id", F.col("e.h").alias("h"), F.col("e.i").alias("i"))
+    keyed = keyed.select("doc_id", F.explode(_seed_hashes(known, short, False)).alias("e")).select("doc_id", F.col("e.h").alias("h"), F.col("e.i").alias("i"))
     small = hashed.count() <= MAX_BROADCAST
     hits = keyed.join(F.broadcast(hashed) if small else hashed, "h").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("d")).distinct()
     hits = materialise(hits, "hits")

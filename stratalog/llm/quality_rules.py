@@ -12,12 +12,14 @@ row per vote pattern, at most 3 ** len(RULES), and EM runs over those on the
 driver; its result goes back into the plan as a few literals.
 
 Repeated words come from sorting each text's window hashes with the windows'
-places in the low bits, so equal windows are neighbours; the hash keeps at
-least 40 bits however long the text is.
+places in the low bits, so equal windows are neighbours.  Neighbours whose
+hashes meet are compared word for word; a text in which different windows meet
+is sorted again by the windows themselves, so the counts are exact.
 
 Defined results: null, empty and wordless texts have counts 0 and fail the
-base rules; repeated rows come out once each and count as often in EM; an
-empty table gives no rows.
+base rules; texts of any length are counted whole; a posterior of exactly
+`KEEP` is kept; repeated rows come out once each and count as often in EM; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from .storage import drop_rows, materialise
 
 KEEP = 0.5
 WINDOW = 3
+WINDOW_HASH = "xxhash64(words[i], words[i + 1], words[i + 2])"
 #: Characters counted as symbols, and the white space that parts words.
 SYMBOLS = "#*$%&|<>"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -47,14 +50,22 @@ def text_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = rows.withColumn("n_words", F.size("words").cast("long")).withColumn("bits", F.length(F.bin("n_words")))
     windows = F.expr(
         f"if(n_words >= {WINDOW}, sort_array(transform(sequence(0, cast(n_words as int) - {WINDOW}),"
-        " i -> shiftleft(xxhash64(words[i], words[i + 1], words[i + 2]), bits) | cast(i as bigint))), cast(array() as array<bigint>))"
+        f" i -> shiftleft({WINDOW_HASH}, bits) | cast(i as bigint))), cast(array() as array<bigint>))"
     )
     rows = rows.withColumn("windows", windows)
     # Neighbours with the same hash; what is left of each is its place in the text.
-    again = F.expr(
-        "sort_array(transform(filter(windows, (x, j) -> (j > 0 and shiftright(x, bits) = shiftright(windows[j - 1], bits))"
+    place = "cast(x & (shiftleft(1L, bits) - 1) as int)"
+    before = place.replace("x &", "windows[j - 1] &")
+    met = "j > 0 and shiftright(x, bits) = shiftright(windows[j - 1], bits)"
+    same = " and ".join(f"words[{place} + {k}] = words[{before} + {k}]" for k in range(WINDOW))
+    by_hash = (
+        f"sort_array(transform(filter(windows, (x, j) -> ({met})"
         " or (j < size(windows) - 1 and shiftright(x, bits) = shiftright(windows[j + 1], bits))), x -> x & (shiftleft(1L, bits) - 1)))"
     )
+    spelt = f"sort_array(transform(sequence(0, size(words) - {WINDOW}), i -> named_struct('s', concat_ws(' ', slice(words, i + 1, {WINDOW})), 'i', cast(i as bigint))))"
+    by_words = f"sort_array(transform(filter(transform({spelt}, x -> x), (x, j) -> (j > 0 and x.s = spelt[j - 1].s) or (j < size(spelt) - 1 and x.s = spelt[j + 1].s)), x -> x.i))"
+    by_words = f"aggregate(array({spelt}), cast(array() as array<bigint>), (a, spelt) -> {by_words.replace(f'transform({spelt}, x -> x)', 'spelt')})"
+    again = F.expr(f"if(exists(filter(transform(windows, (x, j) -> {met} and not ({same})), c -> c), c -> c), {by_words}, {by_hash})")
     rows = rows.withColumn("again", again)
     covered = F.expr(f"aggregate(again, named_struct('last', cast(-{WINDOW} as bigint), 'n', 0L), (a, p) -> named_struct('last', p, 'n', a.n + least({WINDOW}L, p - a.last)), a -> a.n)")
     lines = F.filter(F.split("t", "\n", -1), lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0)

@@ -37,6 +37,29 @@ def test_text_counts_equal_brute_force(spark):
     assert sorted(((g.doc_id, g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) for g in got), key=str) == want
 
 
+def test_windows_whose_hashes_meet(spark, monkeypatch):
+    """With a hash of two values nearly all windows meet; the counts stay exact."""
+    monkeypatch.setattr(quality_rules, "WINDOW_HASH", "length(words[i]) % 2")
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["a", "bb", "ccc", "dd", "e"]) for _ in range(r.randint(0, 40))) for _ in range(120)] + [None, "a b", "a b c a b c"]
+    got = quality_rules.text_counts(spark.createDataFrame([(i, t, "en", 0) for i, t in enumerate(texts)], SCHEMA)).collect()
+    assert {g.doc_id: g.n_repeat_words for g in got} == {i: brute_counts(t)[-1] for i, t in enumerate(texts)}
+
+
+def test_kept_equals_a_plain_posterior(spark):
+    """Votes, EM and the decision once more in plain Python."""
+    r = random.Random(19)
+    rows = [(i, good_text(r, r.choice([30, 90, 200])) if r.random() < 0.8 else "## ".join(good_text(r, 60).upper().split()), "en", 0) for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    voted, votes = quality_rules._voted(quality_rules.text_counts(df))
+    found = {v.doc_id: tuple(v[c] for c in votes) for v in voted.collect()}
+    base, up, down = quality_rules.fit(sorted(Counter(found.values()).items()))
+    for g in quality_rules.quality(df).collect():
+        odds = base + sum(u if v > 0 else d if v < 0 else 0 for v, u, d in zip(found[g.doc_id], up, down))
+        n, *_, rep = brute_counts(rows[g.doc_id][1])
+        assert g.kept == (n >= 50 and 100 * rep <= 50 * n and 1 / (1 + math.exp(-odds)) >= quality_rules.KEEP)
+
+
 def good_text(r, n=120):
     return " ".join(r.choice("the of and to in is".split() if r.random() < 0.4 else ["house" + c + d for c in "abcdef" for d in "klmnop"]) for _ in range(n))
 
@@ -179,3 +202,19 @@ def test_overlaps_empty(spark):
     one = spark.createDataFrame([(1, "some text here", "en", 0)], SCHEMA)
     assert decontaminate.contaminated(one, b).collect() == []
     assert decontaminate.clean(one, b).count() == 1
+
+
+def test_short_items_are_found_word_for_word(spark):
+    docs = [(1, "before it Alpha, beta gamma delta and after", "en", 0), (2, "alpha beta other delta gamma", "en", 0), (3, "one two three four five six and", "en", 0), (4, "two words here", "en", 0)]
+    items = [(1, "alpha beta gamma delta"), (2, "one two three four five six"), (3, "two words"), (4, "alpha beta gamma delta epsilon")]
+    found = decontaminate.overlaps(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((f.doc_id, f.item_id, f.first_word, f.last_word) for f in found) == [(1, 1, 2, 5), (3, 2, 0, 5)]
+
+
+@pytest.mark.parametrize("every", [4, 5, 6, 9])
+def test_regular_substitution_is_hit(spark, every):
+    r = random.Random(every)
+    items = [(i, " ".join(f"w{r.randrange(5000)}" for _ in range(40))) for i in range(12)]
+    docs = [(i, "some words before " + " ".join(w if (j + i) % every else f"x{j}" for j, w in enumerate(t.split())), "en", 0) for i, t in items]
+    found = decontaminate.overlaps(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(f.doc_id, f.item_id) for f in found} == {(i, i) for i, _ in items}
