@@ -8,8 +8,9 @@ merges has n - m tokens, so no identifier is ever looked up or emitted.
 
 Defined results: a null text counts as the empty text (0 bytes, 0 tokens);
 special strings inside a text count one token each, as the library's default
-does; one row comes out per row in, so repeated rows and null ids stay;
-other columns of the input are not read.
+does; texts and words of any length are counted whole; of equal ranks the
+leftmost pair is merged first; one row comes out per row in, so repeated rows
+and null ids stay; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import regex
 
@@ -24,8 +24,8 @@ ASCII_SPACE = r" \t\n\r\x0b\x0c"
 WORD_END_ASCII = rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^{ASCII_SPACE}a-z0-9]+"
 BYTE_LEVEL_ASCII = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^{ASCII_SPACE}A-Za-z0-9]+|[{ASCII_SPACE}]+(?![^{ASCII_SPACE}])|[{ASCII_SPACE}]+"
 
-#: Words in one generation of what a process remembers; bounds memory, never the result.
-CACHE_WORDS = 300_000
+#: Words in one generation of what a process remembers, and letters of the longest; both bound memory, never the result.
+CACHE_WORDS, LONGEST = 300_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -59,10 +59,46 @@ class Vocabulary:
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.folds = spec.get("normalizer") is not None
         self.letters = byte_letters()
+        self.byte_of = {letter: b for b, letter in enumerate(self.letters)}
+        self.agreed: set[str] = set(map(chr, range(128)))
+        self.disputed: set[str] = set()
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.any_words = regex.compile(WORD_END_PATTERN if self.word_end else BYTE_LEVEL_PATTERN).findall
         self.ascii_words = re.compile(WORD_END_ASCII if self.word_end else BYTE_LEVEL_ASCII).findall
 
+    @cached_property
+    def library(self):
+        """The tokenizers library's own reading of the file."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def library_words(self, text: str) -> list[str]:
+        """The pre-split words of a text by the library's normaliser and pre-split."""
+        if self.library.normalizer is not None:
+            text = self.library.normalizer.normalize_str(text)
+        return [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
+    def _agrees(self, c: str) -> bool:
+        """Whether this module folds and splits a letter as the library does, alone and among others."""
+        return all(self.words(self.fold(t)) == self.library_words(t) for t in (c, f"a{c}", f"{c}b", f"1{c}2", f" {c} ", f".{c}!", c + c, f"A{c}\u0301", f"e\u0301{c}"))
+
+    def split(self, text: str) -> list[str]:
+        """The pre-split words of a text without special strings.
+
+        Python's Unicode tables and the library's are of different versions.
+        Each letter is tried once; texts with one that they disagree about are
+        split by the library itself.
+        """
+        if not text.isascii():
+            found = set(text)
+            if not found <= self.agreed:
+                for c in found - self.agreed - self.disputed:
+                    (self.agreed if self._agrees(c) else self.disputed).add(c)
+                if found & self.disputed:
+                    return self.library_words(text)
+        return self.words(self.fold(text))
+
     def words(self, text: str) -> list[str]:
         """The pre-split words of a folded text."""
         return self.ascii_words(text) if text.isascii() else self.any_words(text)
@@ -79,13 +115,13 @@ class Vocabulary:
     def pieces(self, text: str) -> Iterator[tuple[bool, list[str]]]:
         """(is special, words) for each stretch of `text`, in order."""
         if self.split_special is None or not any(s in text for s in self.special):
-            yield False, self.words(self.fold(text))
+            yield False, self.split(text)
             return
         for k, part in enumerate(self.split_special(text)):
             if k % 2:
                 yield True, [part]
             elif part:
-                yield False, self.words(self.fold(part))
+                yield False, self.split(part)
 
     def symbols(self, word: str) -> list[str]:
         """The letters of a word's bytes; the last carries the word end if there is one."""
@@ -119,8 +155,9 @@ def resident(key: object, make: Callable[[], object]):
 class WordTable(dict):
     """What `make` gives for a word.
 
-    Two generations of up to `limit` words: when the younger is full it becomes
-    the older, from which words that come again are taken back.
+    Two generations of up to `limit` words of up to `LONGEST` letters: when the
+    younger is full it becomes the older, from which words that come again are
+    taken back.
     """
 
     def __init__(self, make: Callable[[str], object], limit: int = CACHE_WORDS):
@@ -131,6 +168,8 @@ class WordTable(dict):
         value = self.older.get(word)
         if value is None:
             value = self.make(word)
+            if len(word) > LONGEST:
+                return value
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()

@@ -37,6 +37,29 @@ def test_counts_equal_the_library():
         assert count(t) == len(lib.encode(t, add_special_tokens=False)), repr(t)
 
 
+def test_any_code_points_equal_the_library():
+    """Random code points of all planes, among them those whose properties differ by Unicode version."""
+    r = random.Random(21)
+    ranges = [(0x20, 0x250), (0x300, 0x370), (0x370, 0x600), (0x900, 0x1400), (0x1C80, 0x1CFF), (0x2000, 0x2C60), (0xA640, 0xABFF), (0x10000, 0x1F000), (0x1F000, 0x1FC00), (0xE000, 0x10FFFF)]
+    texts = ["".join(chr(r.randrange(*r.choice(ranges))) if r.random() < 0.6 else r.choice("aB1 '.") for _ in range(r.randint(1, 12))) for _ in range(12_000)]
+    texts = [t for t in texts if not any(0xD800 <= ord(c) < 0xE000 for c in t)] + [chr(c) for c in range(0x1C80, 0x1C8F)] + ["a" + chr(c) + "b" for c in range(0xA7C0, 0xA7E0)]
+    count, words = token_count.counter(WORD_END), tokenizers.Tokenizer.from_file(WORD_END)
+    auto, raw = bpe_codec.TokenAutomaton(bpe_codec.vocabulary(BYTE_LEVEL)), tokenizers.Tokenizer.from_file(BYTE_LEVEL)
+    for t in texts:
+        assert count.count(t) == len(words.encode(t, add_special_tokens=False)), ascii(t)
+        assert auto.encode(t) == raw.encode(t, add_special_tokens=False).ids, ascii(t)
+    assert count.vocab.disputed
+
+
+def test_many_long_words(spark):
+    lib = tokenizers.Tokenizer.from_file(WORD_END)
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choice("abcde") for _ in range(r.choice([5, 70, 900]))) for _ in range(60)) for _ in range(10)]
+    for t in texts:
+        assert token_count.counter(WORD_END).count(t) == len(lib.encode(t, add_special_tokens=False))
+    assert all(len(w) <= 64 for w in token_count.counter(WORD_END).table)
+
+
 def test_automaton_equals_the_library():
     lib = tokenizers.Tokenizer.from_file(BYTE_LEVEL)
     auto = bpe_codec.automaton(BYTE_LEVEL)
