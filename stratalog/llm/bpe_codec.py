@@ -48,7 +48,7 @@ from .vocab import Vocabulary, WordTable, resident, vocabulary
 BYTE = -1
 NEVER = 1 << 60
 #: States of the deterministic automaton, and words, that a process remembers.
-STATES, WORDS = 100_000, 150_000
+STATES, WORDS = 100_000, 250_000
 
 
 class TokenAutomaton:

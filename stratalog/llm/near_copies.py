@@ -14,13 +14,13 @@ proportional budgets, then the full Hamming check of that half at `MAX_BITS`
 set by shingle set.  Texts meet by chance in groups of nodes / 2 ** KEY_BITS,
 which suits up to some 10 ** 9 nodes; beyond that take longer and more keys.
 
-Exact copies are one node.  Groups of up to `ALL_PAIRS` nodes under a key give
-all their pairs.  Larger groups first give a spanning forest, whose links are
-verified and joined into components; where a group then still holds several
-components, its shingle sets are brought together, in pairs of blocks of
+Exact copies are one node.  What is close under a key forms trees; only the
+links of a spanning forest are verified pair by pair and joined into
+components.  A tree of three or more nodes that still holds several components
+then has its shingle sets brought together, in pairs of blocks of
 `BLOCK_NODES` nodes, and compared there at once by a matrix product, of which
-at most one link to a node comes out.  So a class of thousands of near
-copies is never expanded into pairs, and no pair that meets goes untried.
+at most one link to a node comes out.  So a class of thousands of near copies
+is never expanded into pairs, and no pair that meets goes untried.
 
 Defined results: null texts and texts without words are near copies of each
 other; texts of fewer than `WIDTH` words are one shingle; texts that differ in
@@ -48,6 +48,7 @@ WORDS64 = 4
 KEY_BITS, TABLES = 18, 96
 #: Of the first 128 bits: how many may differ, and the segments of the chain test.
 MAX_BITS, SEGMENTS = 30, 8
+#: Nodes of a group up to which all its pairs are looked at at once.
 ALL_PAIRS = 24
 #: Nodes that lead from one part of a large group to the next.
 PIVOTS = 100
@@ -138,11 +139,11 @@ def _close(x: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _forest(x: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(member, the node that found it) along a spanning forest of the close pairs among the rows `at`, and the forest's roots."""
+    """(member, the node that found it, the root of its tree) along a spanning forest of the close pairs among the rows `at`."""
     left, members, parents, roots = at, [], [], []
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        roots.append(queue[0])
+    while len(left) > 1:
+        root, left = left[0], left[1:]
+        queue = [root]
         while queue and len(left):
             k = queue.pop()
             near = _close(x, np.full(len(left), k), left)
@@ -151,45 +152,73 @@ def _forest(x: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray
                 queue.extend(found)
                 members.append(found)
                 parents.append(np.full(len(found), k))
+                roots.append(np.full(len(found), root))
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *members]), np.concatenate([none, *parents]), np.array(roots)
+    return np.concatenate([none, *members]), np.concatenate([none, *parents]), np.concatenate([none, *roots])
 
 
-PAIR_SCHEMA = "a long, b long, key long"
+def _forest_of_pairs(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same from a list of the close pairs."""
+    root: dict[int, int] = {}
 
+    def find(k: int) -> int:
+        while (up := root.setdefault(k, k)) != k:
+            root[k] = k = root.setdefault(up, up)
+        return k
+
+    links = []
+    for a, b in zip(i.tolist(), j.tolist()):
+        low, high = sorted((find(a), find(b)))
+        if low != high:
+            root[high] = low
+            links.append((a, b))
+    a, b = np.array(links, dtype=np.int64).reshape(-1, 2).T
+    # Each link's tree; with one node more than links, the tree's root stands for that node.
+    return b, a, np.array([find(k) for k in b.tolist()], dtype=np.int64)
 
-def _pairs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Pairs to verify (a, b, null) within the groups of a stream sorted by key; large groups give a forest and their members (node, null, key)."""
 
-    def told(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
+PAIR_SCHEMA = "a long, b long, key long"
+
 
-    def members(x: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x[1]), pa.nulls(len(x[1]), pa.int64()), pa.array(x[0])], ["a", "b", "key"])
+def _pairs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Links of spanning forests (a, b, null) within the groups of a stream sorted by key, and the nodes (node, null, tree) of trees of three or more."""
+
+    def told(x: list[np.ndarray], member: np.ndarray, parent: np.ndarray, root: np.ndarray, whole: bool = False) -> Iterator[pa.RecordBatch]:
+        a, b = x[1][member], x[1][parent]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
+        if whole:  # a part of a group: its trees can go on in the next part, so the group counts as one
+            node, tree = x[1], x[0]
+        else:
+            trees, size = np.unique(root, return_counts=True)
+            large = np.isin(root, trees[size > 1])
+            rows = np.unique(np.concatenate([member[large], parent[large]]))
+            of = dict(zip(member[large].tolist(), root[large].tolist())) | dict(zip(parent[large].tolist(), root[large].tolist()))
+            tree_row = np.array([of[r] for r in rows.tolist()], dtype=np.int64)
+            node, tree = x[1][rows], _mixed((x[0][tree_row] ^ (x[1][tree_row] << 1)).view(np.uint64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(tree)], ["a", "b", "key"])
 
     pivots: list[np.ndarray] | None = None
     for x, part in whole_groups(batches, limit):
         if part:  # one group that goes on in the next part
-            yield members(x)
             same = pivots is not None and pivots[0][0] == x[0][0]
             x = [np.r_[p, c] for p, c in zip(pivots, x)] if same else x
-            i, j, roots = _forest(x, np.arange(len(x[0])))
-            yield told(x[1][i], x[1][j])
-            pivots = [c[roots[:PIVOTS]] for c in x]
+            found = _forest(x, np.arange(len(x[0])))
+            yield from told(x, *found, whole=True)
+            lead = np.setdiff1d(np.arange(len(x[0])), found[0])[:PIVOTS]
+            pivots = [c[lead] for c in x]
             continue
         first = np.flatnonzero(np.r_[True, x[0][1:] != x[0][:-1]])
         size = np.diff(np.r_[first, len(x[0])])
+        close = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for n in np.unique(size[(size > 1) & (size <= ALL_PAIRS)]).tolist():
             own = first[size == n][:, None]
             one, two = np.triu_indices(n, 1)
             i, j = (own + one).ravel(), (own + two).ravel()
             ok = _close(x, i, j)
-            yield told(x[1][i[ok]], x[1][j[ok]])
+            close.append((i[ok], j[ok]))
+        yield from told(x, *_forest_of_pairs(*(np.concatenate(side) for side in zip(*close))))
         for s, n in zip(first[size > ALL_PAIRS].tolist(), size[size > ALL_PAIRS].tolist()):
-            at = np.arange(s, s + n)
-            i, j, _ = _forest(x, at)
-            yield told(x[1][i], x[1][j])
-            yield members([c[at] for c in x])
+            yield from told(x, *_forest(x, np.arange(s, s + n)))
 
 
 def joining_links(nodes: np.ndarray, roots: np.ndarray, sets: pa.ListArray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
