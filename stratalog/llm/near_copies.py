@@ -123,7 +123,7 @@ def _keyed(nodes: DataFrame) -> DataFrame:
     """key, node, f0, f1: each node under each of its keys, dealt and sorted by key."""
     masks = F.arrays_zip(*[F.array(*[F.lit(m[k]) for m in key_masks()]).alias(f"m{k}") for k in range(WORDS64)])
     keys = F.transform(masks, lambda m, i: F.xxhash64(*[F.col(f).bitwiseAND(m[f"m{k}"]) for k, f in enumerate(PRINT)], i))
-    return nodes.select(F.explode(keys).alias("key"), "node", "f0", "f1").repartition("key").sortWithinPartitions("key")
+    return nodes.select(F.explode(keys).alias("key"), "node", "f0", "f1").repartition("key").sortWithinPartitions("key", "node")
 
 
 def _close(x: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -139,13 +139,17 @@ def _close(x: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _forest(x: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(member, the node that found it, the root of its tree) along a spanning forest of the close pairs among the rows `at`."""
+    """(member, the node that found it, the root of its tree) along a spanning forest of the close pairs among the rows `at`.
+
+    Rows are in the order of their nodes and the least one looks first, so the
+    same few nodes lead a class under most keys and the links repeat.
+    """
     left, members, parents, roots = at, [], [], []
     while len(left) > 1:
         root, left = left[0], left[1:]
         queue = [root]
         while queue and len(left):
-            k = queue.pop()
+            k = queue.pop(0)
             near = _close(x, np.full(len(left), k), left)
             if near.any():
                 found, left = left[near], left[~near]
