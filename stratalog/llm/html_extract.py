@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -53,6 +54,9 @@ BAD_NAMES = frozenset(
 )
 #: Of those, the ones that an article element may carry and not be the page's article.
 NOT_ARTICLES = frozenset("ad advert advertisement comment comments promo promoted recommended related replies reply sponsored".split())
+#: Words that inside an article tell nothing, and words that tell something only as a whole name.
+TELL_NOTHING = frozenset("header more legal".split())
+WHOLE_NAMES = frozenset("related recommended recommendations".split())
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
     "the of and to in a is that for it was on with as be by at this are from or an have not but had his they i you we he she which their has were been there if would can all will more when who so no out up what into than them its then some could time only other about over also after new our first any these two may such like her my de la le et les des en un une du que qui dans pour est sur au par pas plus ce se ne avec il son sont mais comme ou aux sa leur ses elle cette nous vous je on y der die und den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde el los del las por con una su para al lo como más pero sus o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante uno ni contra otros ese eso ante ellos".split()
@@ -84,9 +88,8 @@ def _tag_end(page: str, at: int) -> int:
     end = page.find(">", at)
     if end < 0:
         return len(page)
-    quote, pos, looks = "", at, 0
-    while looks < 64:  # a tag with more quotes than that ends at its first '>'
-        looks += 1
+    quote, pos = "", at
+    while True:
         if quote:
             close = page.find(quote, pos)
             if close < 0:
@@ -101,7 +104,6 @@ def _tag_end(page: str, at: int) -> int:
             return stop + 1
         i, quote = min(opened)
         pos = i + 1
-    return end + 1
 
 
 def _is_bad(tag: str, attrs: str, in_article: bool) -> bool:
@@ -114,7 +116,9 @@ def _is_bad(tag: str, attrs: str, in_article: bool) -> bool:
     for m in NAMES.finditer(attrs):
         for name in (m[1] or m[2] or m[3] or "").split():
             words = [w.lower() for w in WORD_SPLIT.split(name)]
-            if words[0] not in TELLING and any(w in known and not (in_article and w == "header") for w in words):
+            if in_article or tag in GOOD_TAGS:
+                words = [w for w in words if not (in_article and w in TELL_NOTHING or w in WHOLE_NAMES and len(words) > 1)]
+            if words and words[0] not in TELLING and any(w in known for w in words):
                 return True
     return False
 
@@ -123,6 +127,7 @@ def blocks(page: str) -> list[Block]:
     """The blocks of a page that have text, in order."""
     found: list[Block] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, bad, article, hidden
+    opened: Counter[str] = Counter()  # tags on the stack
     links = 0
     now = Block("", False, False)
 
@@ -146,6 +151,15 @@ def blocks(page: str) -> list[Block]:
         bad, article, _ = state()
         now = Block(tag, bad, article and not bad)
 
+    def push(*entry: str | bool) -> None:
+        stack.append(entry)
+        opened[entry[0]] += 1
+
+    def pop() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
     at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
@@ -169,10 +183,10 @@ def blocks(page: str) -> list[Block]:
         elif tag == "a":
             links = 0 if closing else 1
         elif closing:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if tag in BLOCK_TAGS or depth is not None:
-                if depth is not None:
-                    del stack[depth:]
+            stands = opened[tag] > 0
+            if tag in BLOCK_TAGS or stands:
+                while stands and pop() != tag:
+                    pass
                 if tag in BLOCK_TAGS or tag in HIDDEN_TAGS:
                     links = 0 if tag in BLOCK_TAGS else links
                     cut(stack[-1][0] if stack else "")
@@ -188,17 +202,17 @@ def blocks(page: str) -> list[Block]:
             if tag in BLOCK_TAGS:
                 if tag in ("p", "li", "dt", "dd", "option", "tr", "td", "th") or tag in HEADINGS:
                     while stack and stack[-1][0] in ("p", tag) and stack[-1][0] != "li":
-                        stack.pop()
+                        pop()
                     bad, article, hidden = state()
                 links = 0
                 good = tag in GOOD_TAGS or "articleBody" in attrs or 'role="main"' in attrs
-                stack.append((tag, bad or _is_bad(tag, attrs, article), article or good, hidden))
+                push(tag, bad or _is_bad(tag, attrs, article), article or good, hidden)
                 cut(tag)
             elif tag in HIDDEN_TAGS:
-                stack.append((tag, bad, article, True))
+                push(tag, bad, article, True)
                 cut(tag)
             elif ("class" in attrs or "id" in attrs or "role" in attrs) and _is_bad(tag, attrs, article):
-                stack.append((tag, True, article, hidden))
+                push(tag, True, article, hidden)
                 cut(tag)
     cut("")
     return found

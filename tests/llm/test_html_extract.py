@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from stratalog.llm.html_extract import extract, main_text
@@ -69,3 +71,19 @@ def test_pages_keep_their_articles(spark, sf_dir):
         parts = [html.unescape(re.sub(r"<[^>]*>", " ", x)) for x in re.split(r"</?(?:p|h1)\b[^>]*>", inner)]
         want = "\n".join(t for x in parts if (t := " ".join(x.split())))
         assert main_text(r.html) == want
+
+
+def test_names_inside_articles():
+    assert main_text(page(f'<article class="post related-topic"><p>{LONG}</p><div class="more"><p>{LONG}</p></div><p class="legal">{LONG}</p></article>')) == "\n".join([LONG] * 3)
+    assert main_text(page(f'<article><p>{LONG}</p><div class="related"><p>{LONG}</p></div></article>')) == LONG
+
+
+def test_nested_pages_take_linear_time():
+    start = time.perf_counter()
+    assert main_text("<div>x</b>" * 40_000) == ""
+    assert time.perf_counter() - start < 4
+
+
+def test_tags_with_many_quotes():
+    attrs = " ".join(f'd{k}="a > {k}"' for k in range(200))
+    assert main_text(f"<article><p {attrs}>{LONG}</p></article>") == LONG
