@@ -12,7 +12,7 @@ from .functions.times import bucket, parse_time
 from .operators import enumerate as en
 from .operators.pipes import PIPES
 from .plans.ast import And, Pipe, Query
-from .plans.compiler import Context, apply_filter, time_bounds
+from .plans.compiler import Context, apply_filter, ordering, time_bounds
 from .plans.parser import QueryError, parse
 from .schema import resolve
 
@@ -21,7 +21,7 @@ class Engine:
     """Runs pipe queries on one table; results are lazy DataFrames."""
 
     def __init__(self, table: DataFrame, now: datetime | None = None, tenant: tuple[int, int] | None = None, hidden: tuple[str, ...] = (), max_rows: int | None = None):
-        """tenant: only its rows are seen; hidden: fields (or prefixes ending in *) that are not; max_rows: results beyond fail early by a limit."""
+        """tenant: only its rows are seen; hidden: fields (or prefixes ending in *) that are not; max_rows: a query with more result rows fails."""
         if tenant is not None:
             table = table.filter((F.col("account_id") == tenant[0]) & (F.col("project_id") == tenant[1]))
         if hidden:
@@ -48,12 +48,11 @@ class Engine:
         """Rows of a query; with `limit` the newest ones."""
         df = self.plan(parse(text), start, end, extra_filters)
         if limit is not None or offset:
-            if "_time" in df.columns:
-                ties = [F.col(c).desc() for c in ("event_id", "doc_id", "span_id") if c in df.columns]
-                df = df.orderBy(F.desc("_time"), *ties)
+            if resolve(df, "_time").raw:
+                df = df.orderBy(*ordering(df, (("_time", True),), True))
             df = df.offset(offset) if offset else df
             df = df.limit(limit) if limit is not None else df
-        return df.limit(self.max_rows) if self.max_rows is not None else df
+        return df if self.max_rows is None else bounded(df, self.max_rows)
 
     def stats_query(self, text: str, time=None, **more) -> DataFrame:
         """An instant vector; the query must end in statistics."""
@@ -99,6 +98,13 @@ class Engine:
         return en.streams(self.plan(parse(text), **more), limit)
 
 
+def bounded(df: DataFrame, max_rows: int) -> DataFrame:
+    """The rows of a result; reading them raises if there are more than `max_rows`, which a count of its own tells, so none passes through one task."""
+    count = df.agg(F.count(F.lit(1))).scalar()
+    failed = F.raise_error(F.concat(count.cast("string"), F.lit(f" result rows, {max_rows} are allowed"))).cast("boolean")
+    return df.filter(F.when(count > max_rows, failed).otherwise(F.lit(True)))
+
+
 def rows_json(df: DataFrame) -> DataFrame:
     """One JSON line per row; null fields and empty texts are left out."""
     kinds = {f.name: f.dataType for f in df.schema.fields}

@@ -86,10 +86,20 @@ def compact(df: DataFrame, promoted: list[str] | None = None) -> DataFrame:
     return out.sortWithinPartitions("timestamp_unix_nano", quoted("service.name"))
 
 
-def compact_table(spark: SparkSession, source: str, target: str, promoted: list[str] | None = None) -> None:
-    """Rewrite a table with one file per hour; the caller swaps the two."""
-    df = spark.read.parquet(source).repartition("dt", "hour")
-    compact(df, promoted).sortWithinPartitions("dt", "hour", "timestamp_unix_nano").write.mode("errorifexists").partitionBy("dt", "hour").option("compression", "zstd").parquet(target)
+def compact_spans(df: DataFrame, promoted: list[str] | None = None) -> DataFrame:
+    """Span rows of small files as one large file has them: columns healed, sorted by trace so that a trace lies together."""
+    out = promote(df, "span.attributes", promoted) if promoted else df
+    return out.sortWithinPartitions("trace_id", "timestamp_unix_nano", "span_id")
+
+
+def compact_table(spark: SparkSession, source: str, target: str, promoted: list[str] | None = None, spans: bool = False, files_per_hour: int = 1, level: int = 3) -> None:
+    """Rewrite a table with `files_per_hour` files an hour (rows are dealt to them by trace or time), compressed at zstd's `level`; the caller swaps the two."""
+    df = spark.read.parquet(source)
+    by = "trace_id" if spans else "timestamp_unix_nano"
+    df = df.repartition("dt", "hour", F.pmod(F.xxhash64(by), F.lit(files_per_hour)))
+    out = compact_spans(df, promoted) if spans else compact(df, promoted)
+    out = out.sortWithinPartitions("dt", "hour", *(["trace_id"] if spans else []), "timestamp_unix_nano").write.mode("errorifexists").partitionBy("dt", "hour")
+    out.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(target)
 
 
 def candidates(files: DataFrame, min_files: int = 2, target_bytes: int = 128 << 20, level: int = 0) -> DataFrame:
@@ -99,6 +109,16 @@ def candidates(files: DataFrame, min_files: int = 2, target_bytes: int = 128 <<
     return out.filter(F.col("files") >= min_files).withColumn("outputs", F.greatest(F.lit(1), F.ceil(F.col("bytes") / target_bytes).cast("int")))
 
 
+def eligible(files: DataFrame, now: datetime, min_l0: int = 4, min_l1: int = 4, min_age_hours: float = 1, rollup_hours: float = 0) -> DataFrame:
+    """dt, hour, level: hours to merge.  Level 0 goes first; level 1 merges from `min_l1` files, or from two once the hour is `rollup_hours` old (an hour at least; 0: never)."""
+    at = F.to_timestamp(F.concat_ws(" ", "dt", F.lpad(F.col("hour").cast("string"), 2, "0")), "yyyy-MM-dd HH")
+    age = (F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(at)) / 3600.0
+    counted = files.groupBy("dt", "hour").agg(F.count_if(F.col("level") == 0).alias("l0"), F.count_if(F.col("level") == 1).alias("l1"))
+    rolled = (F.col("l1") >= 2) & (age >= max(1.0, rollup_hours)) if rollup_hours > 0 else F.lit(False)
+    level = F.when(F.col("l0") >= min_l0, 0).when((F.col("l1") >= min_l1) | rolled, 1)
+    return counted.filter(age >= min_age_hours).select("dt", "hour", level.alias("level")).filter("level is not null")
+
+
 def majority_schema(files: DataFrame) -> DataFrame:
     """For each hour the schema fingerprint most files have (ties: the least); others are left for later."""
     counted = files.groupBy("dt", "hour", "fingerprint").agg(F.count(F.lit(1)).alias("n"))
@@ -106,10 +126,13 @@ def majority_schema(files: DataFrame) -> DataFrame:
     return counted.withColumn("_r", F.row_number().over(rank)).filter("_r = 1").drop("_r")
 
 
-def zstd_level(age_hours: float, level: int) -> int:
-    """Harder compression for older and more compacted files."""
-    by_age = 3 if age_hours < 24 else 7 if age_hours < 24 * 7 else 11
-    return max(by_age, {0: 3, 1: 7}.get(level, 11))
+#: Fixed values: (age in days below which it holds, zstd level); the last holds beyond.
+ZSTD_BY_AGE = ((7, 3), (30, 7), (None, 17))
+
+
+def zstd_level(age_hours: float, tiers=ZSTD_BY_AGE) -> int:
+    """Harder compression for older files."""
+    return next(level for days, level in tiers if days is None or age_hours < days * 24)
 
 
 @dataclass(frozen=True)
@@ -128,8 +151,8 @@ def _any_matches(values: Column, pattern: str) -> Column:
     return F.exists(values, lambda v: F.rlike(v, F.lit(pattern)))
 
 
-def expired(files: DataFrame, rules: list[Retention], now: datetime) -> DataFrame:
-    """Files past the longest retention of the rules that match them; files that none matches stay.
+def expired(files: DataFrame, rules: list[Retention], now: datetime, default_days: float | None = None) -> DataFrame:
+    """Files past the longest retention of the rules that match them; files that none matches are kept for `default_days`, for good if there is none.
 
     `label_values` maps each label of a file to the values that occur in it; a rule matches if one does.
     """
@@ -139,6 +162,7 @@ def expired(files: DataFrame, rules: list[Retention], now: datetime) -> DataFram
         for label, pattern in r.labels:
             test = test & F.coalesce(_any_matches(F.col("label_values")[label], _glob(pattern)), F.lit(False))
         keep = F.greatest(keep, F.when(test, F.lit(float(r.days))))
+    keep = F.coalesce(keep, F.lit(default_days).cast("double"))
     age = (F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col("max_time").cast("timestamp"))) / 86400.0
     return files.filter(keep.isNotNull() & (age > keep))
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.compiler import time_bounds
 from ..schema import resolve
 
 
@@ -16,7 +19,21 @@ def files_in_range(files: DataFrame, start=None, end=None) -> DataFrame:
 
 def has_data(df: DataFrame, start, end) -> bool:
     """Whether any row lies in [start, end]; exact, gaps included."""
-    return not df.filter((F.col("_time") >= start) & (F.col("_time") <= end)).isEmpty()
+    return not df.filter(_inside(df, start, end)).isEmpty()
+
+
+def _inside(rows: DataFrame, start, end) -> Column:
+    aware = lambda at: at if not isinstance(at, datetime) or at.tzinfo else at.replace(tzinfo=UTC)
+    return time_bounds(rows, aware(start), aware(end))
+
+
+def _scanned(files: DataFrame, rows: DataFrame, start, end) -> DataFrame:
+    """Rows in [start, end] of some files: by path (and the partitions it lies in) where files have one, else by hour."""
+    scan = rows.filter(_inside(rows, start, end))
+    if "path" in files.columns:
+        return scan.withColumn("path", F.col("_metadata.file_path")).join(files.select("dt", "hour", "path"), ["dt", "hour", "path"], "left_semi")
+    scan = scan.withColumn("dt", F.date_format("_time", "yyyy-MM-dd")).withColumn("hour", F.hour("_time"))
+    return scan.join(files.select("dt", "hour"), ["dt", "hour"], "left_semi")
 
 
 def count_by(files: DataFrame, rows: DataFrame, label: str, start, end) -> DataFrame:
@@ -27,9 +44,8 @@ def count_by(files: DataFrame, rows: DataFrame, label: str, start, end) -> DataF
     inside = (F.col("min_time") >= start) & (F.col("max_time") <= end) & F.col("labels").isNotNull() & F.map_contains_key("labels", F.lit(label))
     hit = files_in_range(files, start, end)
     known = hit.filter(inside).select(F.explode(F.col("labels")[label]).alias(label, "n"))
-    open_hours = hit.filter(~F.coalesce(inside, F.lit(False))).select("dt", "hour")
-    scan = rows.filter((F.col("_time") >= start) & (F.col("_time") <= end)).withColumn("dt", F.date_format("_time", "yyyy-MM-dd")).withColumn("hour", F.hour("_time"))
-    scanned = scan.join(open_hours, ["dt", "hour"], "left_semi").groupBy(resolve(rows, label).column.alias(label)).agg(F.count(F.lit(1)).alias("n"))
+    scan = _scanned(hit.filter(~F.coalesce(inside, F.lit(False))), rows, start, end)
+    scanned = scan.groupBy(resolve(rows, label).column.alias(label)).agg(F.count(F.lit(1)).alias("n"))
     return known.unionByName(scanned).groupBy(f"`{label}`").agg(F.sum("n").alias("n"))
 
 
@@ -38,8 +54,7 @@ def count_rows(files: DataFrame, rows: DataFrame, start, end) -> DataFrame:
     hit = files_in_range(files, start, end)
     inside = (F.col("min_time") >= start) & (F.col("max_time") <= end)
     known = hit.filter(inside).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"))
-    scan = rows.filter((F.col("_time") >= start) & (F.col("_time") <= end)).withColumn("dt", F.date_format("_time", "yyyy-MM-dd")).withColumn("hour", F.hour("_time"))
-    scanned = scan.join(hit.filter(~inside).select("dt", "hour"), ["dt", "hour"], "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    scanned = _scanned(hit.filter(~inside), rows, start, end).agg(F.count(F.lit(1)).alias("n"))
     return known.unionByName(scanned).agg(F.sum("n").alias("n"))
 
 

@@ -10,13 +10,10 @@ from ..functions import text as tx
 from ..plans.ast import Pipe
 from ..plans.compiler import Context, apply_filter, empty_like, ordering
 from ..plans.parser import QueryError
-from ..schema import quoted, resolve
+from ..schema import fresh, quoted, resolve
 from . import enumerate as en
 from .stats import stats
 
-#: Columns that break ties, so that limits do not depend on the order of arrival.
-TIES = ("_time", "event_id", "doc_id", "span_id")
-
 
 def put(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Set a column whose name may hold dots, in its place or at the end."""
@@ -138,14 +135,15 @@ def drop_empty_fields(df: DataFrame, p: Pipe, ctx: Context) -> DataFrame:
 def unroll(df: DataFrame, p: Pipe, ctx: Context) -> DataFrame:
     """One row for each element of the fields' JSON arrays, side by side; shorter ones are filled with empty texts."""
     arrays = [F.coalesce(F.from_json(resolve(df, f).text, "array<string>"), F.array(F.lit(""))) for f in p["fields"]]
-    rows = df.select(*[quoted(c) for c in df.columns], F.explode_outer(F.arrays_zip(*[a.alias(f"a{k}") for k, a in enumerate(arrays)])).alias("_row"))
+    row = fresh("_row", df)
+    rows = df.select(*[quoted(c) for c in df.columns], F.explode_outer(F.arrays_zip(*[a.alias(f"a{k}") for k, a in enumerate(arrays)])).alias(row))
     for k, f in enumerate(p["fields"]):
-        rows = put(rows, f, F.coalesce(F.col("_row")[f"a{k}"], F.lit("")))
-    return rows.drop("_row")
+        rows = put(rows, f, F.coalesce(F.col(row)[f"a{k}"], F.lit("")))
+    return rows.drop(row)
 
 
 def sort(df: DataFrame, p: Pipe, ctx: Context) -> DataFrame:
-    out = df.orderBy(*ordering(df, p["keys"], TIES))
+    out = df.orderBy(*ordering(df, p["keys"]))
     if p["offset"]:
         out = out.offset(p["offset"])
     return out.limit(p["limit"]) if p["limit"] is not None else out
@@ -154,13 +152,12 @@ def sort(df: DataFrame, p: Pipe, ctx: Context) -> DataFrame:
 def ranked(df: DataFrame, p: Pipe, ctx: Context) -> DataFrame:
     """first / last N, of all rows or of each partition."""
     keys = p["keys"] if p.name == "first" else tuple((k, not d) for k, d in p["keys"])
-    ties = tuple(t for t in TIES if t in df.columns)
-    order = ordering(df, keys)
-    order += [F.col(quoted(t)).desc() if p.name == "last" else F.col(quoted(t)).asc() for t in ties if t not in {k for k, _ in keys}]
+    order = ordering(df, keys, p.name == "last")
     if not p["partition"]:
         return df.orderBy(*order).limit(p["n"])
     window = Window.partitionBy(*[resolve(df, f).column for f in p["partition"]]).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= p["n"]).drop("_rank")
+    rank = fresh("_rank", df)
+    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= p["n"]).drop(rank)
 
 
 def limit(df: DataFrame, p: Pipe, ctx: Context) -> DataFrame:
@@ -191,7 +188,7 @@ def join(df: DataFrame, p: Pipe, ctx: Context) -> DataFrame:
     for k in p["on"]:
         if k not in df.columns:
             df = put(df, k, resolve(df, k).column)
-    names = {c: f"_r{n}" for n, c in enumerate(right.columns)}
+    names = {c: fresh(f"_r{n}", df) for n, c in enumerate(right.columns)}
     right = right.select(*[F.col(quoted(c)).alias(n) for c, n in names.items()])
     test = F.lit(True)
     for k in p["on"]:

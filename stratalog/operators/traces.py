@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.times import bucket, duration_ns
 from ..plans.parser import QueryError
-from ..schema import quoted, resolve
+from ..schema import INTEGRAL, quoted, resolve
 
 #: Names of span kinds in tag filters.
 KIND_NAMES = {"unspecified": 0, "internal": 1, "server": 2, "client": 3, "producer": 4, "consumer": 5}
@@ -87,11 +88,22 @@ def search(spans: DataFrame, limit: int = 20, whole: bool = False, **conditions)
     return (spans if whole else found).join(ids, "trace_id", "left_semi")
 
 
+def graph_halves(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, child, at: server and consumer spans by their parent's id; id, parent, at: client and producer spans by their own)."""
+    kind = resolve(spans, "kind")
+    of_kind = lambda *codes: kind.column.isin(*codes) if isinstance(kind.kind, INTEGRAL) else kind.text.isin(*map(str, codes))
+    time = resolve(spans, "_time")
+    at = F.timestamp_micros(F.floor(time.column / 1000).cast("long")) if isinstance(time.kind, T.LongType) else time.column.cast("timestamp")
+
+    def half(key: str, name: str, *codes: int) -> DataFrame:
+        return spans.filter(of_kind(*codes)).select(resolve(spans, key).text.alias("id"), F.col("`service.name`").alias(name), at.alias("at")).filter("id <> ''")
+
+    return half("parent_span_id", "child", 2, 5), half("span_id", "parent", 3, 4)
+
+
 def service_graph(spans: DataFrame) -> DataFrame:
     """parent, child, callCount: server and consumer spans under client and producer spans of another service."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    child = spans.filter((text("parent_span_id") != "") & F.rlike(text("kind"), F.lit("2|5"))).select(F.col("parent_span_id").alias("id"), F.col("`service.name`").alias("child"))
-    parent = spans.filter((text("span_id") != "") & F.rlike(text("kind"), F.lit("3|4"))).select(F.col("span_id").alias("id"), F.col("`service.name`").alias("parent"))
+    child, parent = graph_halves(spans)
     return child.join(parent, "id").filter("parent <> child").groupBy("parent", "child").agg(F.count(F.lit(1)).alias("callCount"))
 
 
@@ -209,6 +221,15 @@ def histogram_over_time(spans: DataFrame, query: str, step: str, field: str = "d
     return rows.groupBy("_time", F.pow(F.lit(2.0), F.ceil(F.log2("v"))).alias("bucket")).agg(F.count(F.lit(1)).alias("value"))
 
 
+def compare(spans: DataFrame, query: str, fields: tuple[str, ...], top: int = 10) -> DataFrame:
+    """field, value, baseline, selection: for each field the `top` values (by both counts, ties by value) among spans a selector leaves out and those it picks."""
+    picked = F.coalesce(traceql(spans, query), F.lit(False))
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), resolve(spans, f).text.alias("value")) for f in fields])
+    counted = spans.select(picked.alias("in"), F.inline(pairs)).filter("value <> ''").groupBy("field", "value").agg(F.count_if(~F.col("in")).alias("baseline"), F.count_if("in").alias("selection"))
+    rank = F.row_number().over(Window.partitionBy("field").orderBy(F.desc(F.col("baseline") + F.col("selection")), "value"))
+    return counted.withColumn("rank", rank).filter(F.col("rank") <= top).drop("rank")
+
+
 def logfmt_selector(tags: str) -> str:
     """A selector from logfmt tags: a=b c="d e" to { .a="b" && .c="d e" }."""
     found = re.findall(r'([^\s=]+)=("(?:[^"\\]|\\.)*"|\S*)', tags)

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions.times import bucket, duration_ns, end_of, is_duration, parse_time
-from ..schema import INTEGRAL, Field, quoted, resolve
+from ..schema import INTEGRAL, Field, quoted, resolve, tie_names
 from .ast import All, And, InQuery, Leaf, Not, Or, Query, Stream
 from .parser import QueryError
 
@@ -257,15 +257,16 @@ def _has_query(x) -> bool:
     return isinstance(x, (And, Or)) and any(map(_has_query, x.parts))
 
 
-def ordering(df: DataFrame, keys: tuple[tuple[str, bool], ...], ties: tuple[str, ...] = ()) -> list[Column]:
-    """Sort columns: typed columns by value, texts by number first (numbers before other texts), then by text."""
+def ordering(df: DataFrame, keys: tuple[tuple[str, bool], ...], desc_ties: bool = False) -> list[Column]:
+    """Sort columns: typed columns by value, texts by number first (numbers before other texts), then by text; ties by all other columns."""
     out = []
     for name, desc in keys:
         f = resolve(df, name)
         columns = [f.number, f.text] if isinstance(f.kind, T.StringType) else [f.column]
         out += [c.desc_nulls_last() if desc else c.asc_nulls_last() for c in columns]
     named = {k for k, _ in keys}
-    return out + [F.col(quoted(t)).asc() for t in ties if t in df.columns and t not in named]
+    ties = [F.col(quoted(t)) for t in tie_names(df) if t not in named]
+    return out + [t.desc() if desc_ties else t.asc() for t in ties]
 
 
 def group_columns(df: DataFrame, by: tuple[tuple[str, str], ...]) -> list[Column]:

@@ -102,6 +102,21 @@ def resolve(df: DataFrame, name: str) -> Field:
     return Field(F.lit(""), T.StringType(), False)
 
 
+def tie_names(df: DataFrame) -> list[str]:
+    """Columns that break ties, so that limits do not depend on the order of arrival: the time, the stream's id, then all other sortable ones."""
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))]
+    first = [c for c in ("_time", LOG_NAMES["_time"], "_stream_id") if c in plain]
+    return first + [c for c in plain if c not in first]
+
+
+def fresh(name: str, *dfs: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    taken = {c.lower() for df in dfs for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def severity(text: Column, number: Column, stream_level: Column | None = None) -> Column:
     """Level of a log row: its text, else from its number 1 to 24, else the stream's tag, else empty."""
     named = F.element_at(F.array(*map(F.lit, SEVERITIES)), ((number - 1) / 4).cast("int") + 1)

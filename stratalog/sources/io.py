@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +29,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     """path, bytes, modified of each stored file, with its partition."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
     part = lambda name, to: F.nullif(F.regexp_extract("path", rf"{name}=([^/]+)", 1), F.lit("")).cast(to)
-    return rows.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), part("dt", "string").alias("dt"), part("hour", "int").alias("hour"))
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), part("dt", "string").alias("dt"), part("hour", "int").alias("hour"))
 
 
 def write_table(df: DataFrame, root: str, mode: str = "append", blooms: tuple[str, ...] = ("trace_id",), files_per_hour: int = 1) -> None:
@@ -46,6 +48,11 @@ def write_table(df: DataFrame, root: str, mode: str = "append", blooms: tuple[st
     out.parquet(root)
 
 
+def overwrite_partitions(df: DataFrame, root: str, *parts: str) -> None:
+    """Write partitions in the place of those of the same values; others stay."""
+    df.repartition(*parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).option("compression", "zstd").parquet(root)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", "true").csv(path)
 
@@ -120,6 +127,69 @@ def nanos(text: Column) -> Column:
     return F.coalesce(scaled, whole * 1_000_000_000 + F.coalesce(fraction, F.lit(0).cast("long")), F.lit(0).cast("long"))
 
 
+#: The parts of OTLP's JSON that rows are made of, and Loki's push request.
+_VALUE = "struct<stringValue:string,intValue:string,doubleValue:string,boolValue:string>"
+_ATTRIBUTES = f"array<struct<key:string,value:{_VALUE}>>"
+OTLP_LOGS = f"""struct<resourceLogs:array<struct<resource:struct<attributes:{_ATTRIBUTES}>,scopeLogs:array<struct<scope:struct<name:string,attributes:{_ATTRIBUTES}>,
+ logRecords:array<struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:int,severityText:string,body:{_VALUE},attributes:{_ATTRIBUTES},traceId:string,spanId:string>>>>>>>"""
+OTLP_SPANS = f"""struct<resourceSpans:array<struct<resource:struct<attributes:{_ATTRIBUTES}>,scopeSpans:array<struct<scope:struct<name:string,attributes:{_ATTRIBUTES}>,
+ spans:array<struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:int,startTimeUnixNano:string,endTimeUnixNano:string,attributes:{_ATTRIBUTES},status:struct<code:int,message:string>>>>>>>>"""
+LOKI_PUSH = "struct<streams:array<struct<stream:map<string,string>,values:array<array<string>>>>>"
+
+
+def _plain(value: Column) -> Column:
+    return F.coalesce(value["stringValue"], value["intValue"], value["doubleValue"], value["boolValue"], F.lit(""))
+
+
+def _entries(attributes: Column, prefix: str = "") -> Column:
+    """The map of a list of attributes; of repeated keys the last counts."""
+    pairs = F.coalesce(attributes, F.expr(f"cast(array() as {_ATTRIBUTES})"))
+    last = F.transform(F.array_distinct(F.transform(pairs, lambda p: p["key"])), lambda k: F.struct(F.concat(F.lit(prefix), k).alias("k"), _plain(F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"]).alias("v")))
+    return F.map_from_entries(last)
+
+
+def _merged(*maps: Column) -> Column:
+    """Later maps win."""
+
+    def over(old: Column, new: Column) -> Column:
+        return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
+
+    return reduce(over, maps)
+
+
+def otlp_log_lines(requests: DataFrame, value: str = "value") -> DataFrame:
+    """OTLP log requests (JSON) as JSON lines for `log_rows`: attributes of record, scope and resource by their keys, the record's first."""
+    r = requests.select(F.explode(F.from_json(F.col(value), OTLP_LOGS)["resourceLogs"]).alias("r"))
+    s = r.select(F.col("r.resource.attributes").alias("ra"), F.explode("r.scopeLogs").alias("s"))
+    x = s.select("ra", F.col("s.scope").alias("scope"), F.explode("s.logRecords").alias("x"))
+    time = F.coalesce(F.nullif(F.col("x.timeUnixNano"), F.lit("0")), F.col("x.observedTimeUnixNano"), F.lit("0"))
+    own = {LINE_TIME: time, LINE_MESSAGE: _plain(F.col("x.body")), LINE_LEVEL: F.coalesce("x.severityText", F.lit("")), "severity_number": F.coalesce(F.col("x.severityNumber"), F.lit(0)).cast("string"), "trace_id": F.coalesce("x.traceId", F.lit("")), "span_id": F.coalesce("x.spanId", F.lit("")), "scope.name": F.coalesce("scope.name", F.lit(""))}
+    named = F.create_map(*[c for k, v in own.items() for c in (F.lit(k), v)])
+    return x.select(F.to_json(_merged(_entries(F.col("ra")), _entries(F.col("scope.attributes")), _entries(F.col("x.attributes")), named)).alias("value"))
+
+
+def otlp_span_lines(requests: DataFrame, value: str = "value") -> DataFrame:
+    """OTLP trace requests (JSON) as flat JSON lines for `span_rows`."""
+    r = requests.select(F.explode(F.from_json(F.col(value), OTLP_SPANS)["resourceSpans"]).alias("r"))
+    s = r.select(F.col("r.resource.attributes").alias("ra"), F.explode("r.scopeSpans").alias("s"))
+    x = s.select("ra", F.col("s.scope").alias("scope"), F.explode("s.spans").alias("x"))
+    start, end = F.col("x.startTimeUnixNano").try_cast("long"), F.col("x.endTimeUnixNano").try_cast("long")
+    own = {"trace_id": "x.traceId", "span_id": "x.spanId", "parent_span_id": "x.parentSpanId", "name": "x.name", "kind": "x.kind", "status_code": "x.status.code", "status_message": "x.status.message", "start_time_unix_nano": "x.startTimeUnixNano", "scope.name": "scope.name"}
+    pairs = {k: F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in own.items()} | {"duration": F.coalesce((end - start).cast("string"), F.lit("0"))}
+    named = F.create_map(*[c for k, v in pairs.items() for c in (F.lit(k), v)])
+    maps = _entries(F.col("ra"), "resource_attr:"), _entries(F.col("scope.attributes"), "scope_attr:"), _entries(F.col("x.attributes"), "span_attr:")
+    return x.select(F.to_json(F.map_filter(_merged(*maps, named), lambda k, v: v != "")).alias("value"))
+
+
+def loki_lines(requests: DataFrame, value: str = "value") -> DataFrame:
+    """Loki push requests (JSON) as JSON lines for `log_rows`: labels by their names, a value's time and text."""
+    s = requests.select(F.explode(F.from_json(F.col(value), LOKI_PUSH)["streams"]).alias("s"))
+    x = s.select(F.coalesce("s.stream", F.expr("cast(map() as map<string,string>)")).alias("labels"), F.explode("s.values").alias("v"))
+    meta = F.coalesce(F.from_json(F.get("v", F.lit(2)), "map<string,string>"), F.expr("cast(map() as map<string,string>)"))
+    named = F.create_map(F.lit(LINE_TIME), F.coalesce(F.get("v", F.lit(0)), F.lit("0")), F.lit(LINE_MESSAGE), F.coalesce(F.get("v", F.lit(1)), F.lit("")))
+    return x.select(F.to_json(_merged(F.col("labels"), meta, named)).alias("value"))
+
+
 def trace_shaped(stream: Column) -> Column:
     """Whether a log row's stream is that of a span or edge row."""
     s = F.coalesce(stream, F.lit(""))

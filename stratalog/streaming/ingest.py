@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.traces import service_graph
+from ..operators.traces import graph_halves
 from ..sources.io import log_rows
 
 
@@ -51,11 +51,21 @@ def run_once(df: DataFrame, name: str, mode: str = "complete", checkpoint: str |
     return df.sparkSession.table(name)
 
 
-def graph_task(spans: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Append each micro-batch's service-graph edges, marked with the batch, to a table."""
+def graph_task(spans: DataFrame, root: str, checkpoint: str, lookbehind: str = "1 hour", every: str | None = None) -> StreamingQuery:
+    """Append each micro-batch's service-graph edges, marked with the batch, to a table.
+
+    The two spans of an edge may come in any batches, as long as their times
+    lie within `lookbehind` of each other; state older than that is dropped.
+    """
+    child, parent = graph_halves(spans)
+    child = child.withColumnRenamed("at", "child_at").withWatermark("child_at", lookbehind)
+    parent = parent.select(F.col("id").alias("own"), "parent", F.col("at").alias("parent_at")).withWatermark("parent_at", lookbehind)
+    near = F.expr(f"child_at >= parent_at - interval {lookbehind} and child_at <= parent_at + interval {lookbehind}")
+    edges = child.join(parent, (F.col("id") == F.col("own")) & near & (F.col("parent") != F.col("child"))).select("parent", "child")
 
     def write(batch: DataFrame, number: int) -> None:
-        edges = service_graph(batch).withColumn("batch", F.lit(number))
-        edges.write.mode("overwrite").parquet(f"{root}/batch={number}")  # the same batch again replaces itself
+        counted = batch.groupBy("parent", "child").agg(F.count(F.lit(1)).alias("callCount")).withColumn("batch", F.lit(number))
+        counted.write.mode("overwrite").parquet(f"{root}/batch={number}")  # the same batch again replaces itself
 
-    return spans.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    out = edges.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
