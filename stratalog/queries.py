@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 
@@ -16,8 +17,8 @@ from .operators import enumerate as en
 from .operators import maintenance as mt
 from .operators import metadata as md
 from .operators import traces as tr
-from .schema import SPAN_KINDS, STATUS_CODES, enum_name
-from .sources import io, views
+from .schema import SPAN_KINDS, STATUS_CODES, enum_name, flatten
+from .sources import io, manifest, views
 from .streaming import ingest as st
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -340,6 +341,8 @@ piped("o3_offset_past_end", "level:=error | stats by (level) count() n | offset
 register("o4_newest", "SELECT event_id FROM logs WHERE level = 'view' ORDER BY _time DESC, event_id DESC LIMIT 30")(lambda s, d: Engine(views.logs(s, d)).query("level:=view", limit=30).select("event_id"))
 register("o5_max_rows", "SELECT level, count(*) AS n FROM logs GROUP BY 1")(lambda s, d: Engine(views.logs(s, d), max_rows=1000).query("* | stats by (level) count() n"))
 
+register("o5_max_rows_held", "SELECT event_id FROM logs WHERE level = 'error'")(lambda s, d: Engine(views.logs(s, d), max_rows=views.logs(s, d).filter("level = 'error'").count()).query("level:=error | fields event_id"))
+
 # Metadata.
 
 register("m01_field_names", "SELECT name, hits FROM (SELECT 'level' AS name, count(level) AS hits FROM blank UNION ALL SELECT 'event_id', count(*) FROM blank UNION ALL SELECT 'k', count(k) FROM blank) WHERE hits > 0", BLANK)(lambda s, d: en.field_names(views.blank_logs(s, d).select("event_id", "level", "`log.attributes`")))
@@ -493,8 +496,6 @@ register("l_tokens", "SELECT doc_id, count(DISTINCT t) AS n FROM (SELECT doc_id,
 
 @register("st5_tumbling", "SELECT date_trunc('hour', _time) AS _time, level, count(*) AS hits FROM logs GROUP BY 1, 2")
 def _(s, d):
-    import uuid
-
     schema = s.read.parquet(f"{d}/events.parquet").schema
     # A stream reads folders; the glob matches the table whether it is one file or a folder of them.
     rows = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(*_stream_folder(s, d))
@@ -509,5 +510,130 @@ def _stream_folder(s: SparkSession, d: str) -> list[str]:
     return [f"{d}/events.parquet"] if fs.getFileStatus(path).isDirectory() else [f"{d}/events.parque[t]"]
 
 
+# Stored tables: all events, ten seconds apart, written once for each session and source, then read through their manifest.
+
+KEPT = LOGS + ", kept AS (SELECT * REPLACE (TIMESTAMP '2024-01-05' + to_seconds(event_id * 10) AS _time) FROM logs)"
+_SPAN = "TIMESTAMP '2024-01-05 00:30:00' AND TIMESTAMP '2024-01-05 02:10:00'"
+_BOUNDS = datetime(2024, 1, 5, 0, 30), datetime(2024, 1, 5, 2, 10)
+
+_ROOTS: dict[tuple[str, str], str] = {}
+
+
+def _shared(s: SparkSession, name: str) -> str:
+    """A new place in a folder that all executors see: the checkpoint folder if there is one, else the warehouse."""
+    base = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/stratalog/{name}-{uuid.uuid4().hex}"
+
+
+def _lines(s: SparkSession, d: str) -> DataFrame:
+    e = views.table(s, d, "events")
+    service = F.concat(F.lit("svc-"), (F.col("user_id") % 5).cast("string"))
+    fields = [(F.col("event_id") * 10 + 1704412800).cast("string").alias("_time"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("_msg"), F.col("event_type").alias("level")]
+    return e.select(F.to_json(F.struct(*fields, service.alias("service.name"), F.floor(F.col("event_id") / 4).cast("string").alias("trace_id"), F.col("event_id").cast("string").alias("span_id"))).alias("value"))
+
+
+def _root(s: SparkSession, d: str) -> str:
+    """A table of log rows made of the events, with its manifest."""
+    key = s.sparkContext.applicationId, d
+    if key not in _ROOTS:
+        root = _shared(s, "logs")
+        io.write_table(io.log_rows(_lines(s, d)), root)
+        manifest.refresh(s, root)
+        _ROOTS[key] = root
+    return _ROOTS[key]
+
+
+_known = lambda s, d: manifest.files(s, _root(s, d))
+_table = lambda s, d: io.read_table(s, _root(s, d))
+_id = lambda: F.col("span_id").cast("long").alias("event_id")
+_ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+_HOURS = "strftime(_time, '%Y-%m-%d') AS dt, hour(_time) AS hour"
+register("s10_manifest", f"SELECT {_HOURS}, count(*) AS rows, min(_time) AS min_time, max(_time) AS max_time FROM kept GROUP BY 1, 2", KEPT)(lambda s, d: _known(s, d).select("dt", "hour", "rows", _ntz("min_time"), _ntz("max_time")))
+register("s07_manifest_range", f"SELECT {_HOURS} FROM kept GROUP BY 1, 2 HAVING max(_time) >= TIMESTAMP '2024-01-05 00:30:00' AND min(_time) <= TIMESTAMP '2024-01-05 02:10:00'", KEPT)(lambda s, d: md.files_in_range(_known(s, d), *_BOUNDS).select("dt", "hour"))
+register("a25_manifest_count", f'SELECT service AS "service.name", count(*) AS n FROM kept WHERE _time BETWEEN {_SPAN} GROUP BY 1', KEPT)(lambda s, d: md.count_by(_known(s, d), _table(s, d), "service.name", *_BOUNDS))
+register("a26_manifest_labels", f"SELECT {_HOURS}, level AS value, count(*) AS n FROM kept GROUP BY 1, 2, 3", KEPT)(lambda s, d: _known(s, d).select("dt", "hour", F.explode(F.col("labels")["severity_text"]).alias("value", "n")))
+register("m11_manifest_rows", f"SELECT count(*) AS n FROM kept WHERE _time BETWEEN {_SPAN}", KEPT)(lambda s, d: md.count_rows(_known(s, d), _table(s, d), *_BOUNDS))
+register("m08_manifest_partitions", f"SELECT dt, count(*) AS files, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT {_HOURS}, count(*) AS n FROM kept GROUP BY 1, 2) GROUP BY 1", KEPT)(lambda s, d: md.partitions(_known(s, d)).select("dt", "files", "rows"))
+register("m12e_manifest_compression", "SELECT CAST(sum(strlen(level) + strlen(level || ' ' || event_id) + strlen(service) + strlen(trace_id || '') + strlen(event_id || '') + strlen('{service.name=\"' || service || '\"}') + 48) AS BIGINT) AS raw_bytes, true AS stored FROM kept", KEPT)(lambda s, d: md.compression(_known(s, d)).select("raw_bytes", (F.col("stored_bytes") > 0).alias("stored")))
+register("m13_manifest_parity", "SELECT count(*) AS manifest, count(*) AS scanned, 0.0::DOUBLE AS drift_percent FROM kept", KEPT)(lambda s, d: md.parity(_known(s, d), _table(s, d)))
+register("c4_manifest_schema", f"SELECT {_HOURS}, 1::BIGINT AS n FROM kept GROUP BY 1, 2", KEPT)(lambda s, d: mt.majority_schema(_known(s, d)).select("dt", "hour", "n"))
+register("j9_manifest_label_files", f"SELECT {_HOURS} FROM kept GROUP BY 1, 2 HAVING bool_or(level = 'signup')", KEPT)(lambda s, d: manifest.files_with(_known(s, d), "severity_text", "signup").select("dt", "hour"))
+register("t07_manifest_index", "SELECT trace_id || '' AS trace_id, min(epoch_us(_time)) * 1000 AS start_ns, max(epoch_us(_time)) * 1000 AS end_ns, count(*) AS n FROM kept GROUP BY 1", KEPT)(lambda s, d: manifest.traces(s, _root(s, d)).groupBy("trace_id").agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"), F.sum("n_rows").alias("n")))
+register("t08_trace_rows", "SELECT event_id FROM kept WHERE trace_id = 77", KEPT)(lambda s, d: manifest.trace_rows(s, _root(s, d), "77").select(_id()))
+register("m15_membership", f"SELECT DISTINCT {_HOURS} FROM kept WHERE trace_id = 42", KEPT)(lambda s, d: _known(s, d).join(manifest.traces(s, _root(s, d)).filter("trace_id = '42'"), "path", "left_semi").select("dt", "hour"))
+register("s05_read_files", "SELECT event_id FROM kept WHERE strftime(_time, '%Y-%m-%d') = '2024-01-05'", KEPT)(lambda s, d: io.read_files(s, [r.path for r in _known(s, d).filter("dt = '2024-01-05'").select("path").collect()]).select(_id()))
+register("s15_write_read", "SELECT event_id, level, epoch_us(_time) * 1000 AS ns FROM kept", KEPT)(lambda s, d: _table(s, d).select(_id(), F.col("severity_text").alias("level"), F.col("timestamp_unix_nano").alias("ns")))
+register("o4_newest_stored", "SELECT event_id FROM kept WHERE level = 'view' ORDER BY _time DESC, event_id DESC LIMIT 30", KEPT)(lambda s, d: Engine(_table(s, d)).query("level:=view", limit=30).select(_id()))
+register("o2_limit", "SELECT least(count(*), 7) AS n FROM logs")(lambda s, d: Engine(_table(s, d)).query("* | limit 7 | stats count() n"))
+register("r16_flatten", "SELECT event_id, k FROM logs")(lambda s, d: flatten(views.logs(s, d)).select("event_id", F.col("attributes")["k"].alias("k")))
+register("a35_compare", "SELECT field, value, count(*) FILTER (status_code <> 2) AS baseline, count(*) FILTER (status_code = 2) AS selection FROM (SELECT 'name' AS field, name AS value, status_code FROM spans UNION ALL SELECT 'service.name', service, status_code FROM spans) GROUP BY 1, 2", SPANS)(lambda s, d: tr.compare(views.spans(s, d), "{ status = error }", ("name", "service.name")))
+register("c1_eligible", f"SELECT dt, hour, 0 AS level FROM (SELECT dt, hour // 6 AS hour, count(*) AS n FROM (SELECT DISTINCT {_HOURS} FROM kept) GROUP BY 1, 2) WHERE n >= 2", KEPT)(lambda s, d: mt.eligible(_known(s, d).withColumn("hour", F.floor(F.col("hour") / 6).cast("long")), _NOW31, min_l0=2).select("dt", "hour", "level"))
+register("a05_count_uniq_near", "SELECT level, true AS near FROM logs GROUP BY 1")(lambda s, d: Engine(views.logs(s, d)).query("* | stats by (level) count_uniq_hash(user_id) a, count_uniq(user_id) b").select("level", (F.abs(F.col("a") - F.col("b")) <= 0.1 * F.col("b")).alias("near")))
+register("a13_any_of_group", "SELECT level, true AS own FROM logs GROUP BY 1")(lambda s, d: Engine(views.logs(s, d)).query("* | stats by (level) any(user_id) a, uniq_values(user_id) b").select("level", F.array_contains("b", F.col("a")).alias("own")))
+register("a27_hll_near", "SELECT true AS near")(lambda s, d: md.merged_estimate(md.sketches(views.logs(s, d), ["level"], "user_id")).join(views.logs(s, d).agg(F.count_distinct("user_id").alias("exact"))).select((F.abs(F.col("distinct") - F.col("exact")) <= 0.1 * F.col("exact")).alias("near")))
+
+
+@register("s19_otlp_logs", "SELECT event_id, level, service AS \"service.name\", epoch_us(_time) * 1000 AS ns, k FROM logs")
+def _(s, d):
+    x = views.logs(s, d)
+    text = lambda c: F.struct(c.cast("string").alias("stringValue"))
+    attr = lambda k, c: F.struct(F.lit(k).alias("key"), text(c).alias("value"))
+    nanos = (F.unix_micros(F.col("_time").cast("timestamp")) * 1000).cast("string")
+    record = F.struct(nanos.alias("timeUnixNano"), F.col("level").alias("severityText"), text(F.col("_msg")).alias("body"), F.array(attr("k", F.col("`log.attributes`")["k"])).alias("attributes"), F.col("event_id").cast("string").alias("spanId"))
+    scopes = F.array(F.struct(F.array(record).alias("logRecords")))
+    request = F.struct(F.array(F.struct(F.struct(F.array(attr("service.name", F.col(Q))).alias("attributes")).alias("resource"), scopes.alias("scopeLogs"))).alias("resourceLogs"))
+    rows = io.log_rows(io.otlp_log_lines(x.select(F.to_json(request).alias("value"))))
+    return rows.select(_id(), F.col("severity_text").alias("level"), Q, F.col("timestamp_unix_nano").alias("ns"), F.col("`log.attributes`")["k"].alias("k"))
+
+
+@register("s19_loki_push", "SELECT _msg AS body, service AS \"service.name\", level, epoch_us(_time) * 1000 AS ns FROM logs")
+def _(s, d):
+    x = views.logs(s, d)
+    nanos = (F.unix_micros(F.col("_time").cast("timestamp")) * 1000).cast("string")
+    stream = F.struct(F.create_map(F.lit("level"), F.col("level"), F.lit("service.name"), F.col(Q)).alias("stream"), F.array(F.array(nanos, "_msg")).alias("values"))
+    rows = io.log_rows(io.loki_lines(x.select(F.to_json(F.struct(F.array(stream).alias("streams"))).alias("value"))))
+    return rows.select("body", Q, F.col("severity_text").alias("level"), F.col("timestamp_unix_nano").alias("ns"))
+
+
+@register("s23_csv_export", "SELECT event_id, level FROM kept", KEPT)
+def _(s, d):
+    path = _shared(s, "csv")
+    io.write_csv(_table(s, d).select(_id(), F.col("severity_text").alias("level")), path)
+    return s.read.schema("event_id long, level string").option("header", "true").csv(path)
+
+
+@register("d5_rewrite", "SELECT event_id FROM kept WHERE NOT (level = 'error' AND _time BETWEEN TIMESTAMP '2024-01-05 00:30:00' AND TIMESTAMP '2024-01-05 02:10:00')", KEPT)
+def _(s, d):
+    stone = mt.Tombstone("level:=error", *(t.replace(tzinfo=UTC) for t in _BOUNDS))
+    return mt.rewrite(s, _root(s, d), _shared(s, "rewritten"), [stone]).select(_id())
+
+
+@register("c3_merge_by_trace", "SELECT event_id FROM kept", KEPT)
+def _(s, d):
+    target = _shared(s, "merged")
+    mt.compact_table(s, _root(s, d), target, spans=True, files_per_hour=2, level=mt.zstd_level(1000))
+    return s.read.parquet(target).select(_id())
+
+
+@register("q17_rollup_table", 'SELECT CAST(_time AS DATE) AS d, service AS "service.name", count(*) AS n FROM logs GROUP BY 1, 2')
+def _(s, d):
+    root, rows = _shared(s, "rollup"), views.logs(s, d)
+    rollup = rows.groupBy(F.col("_time").cast("date").alias("d"), Q).agg(F.count(F.lit(1)).alias("n"))
+    io.overwrite_partitions(rollup.withColumn("n", F.lit(0).cast("long")), root, "d")
+    io.overwrite_partitions(rollup, root, "d")  # the days of a rollup take the place of the same days
+    return s.read.parquet(root).select(F.col("d").cast("date").alias("d"), Q, "n")
+
+
+@register("d4_coverage", "SELECT 0.5::DOUBLE AS share")
+def _(s, d):
+    day = lambda n: datetime(2024, 1, n)
+    return s.createDataFrame([(mt.coverage([mt.Tombstone("*", day(1), day(3)), mt.Tombstone("*", day(2), day(4)), mt.Tombstone("*", day(9), day(12))], day(1), day(11)),)], "share double")
+
+
+@register("tn1_tenant_alias", "SELECT event_id FROM logs WHERE account_id = 2")
+def _(s, d):
+    return Engine(views.logs(s, d), tenant=mt.tenant_ids({"acme": (2, 0)}, "acme")).query("* | fields event_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["slice_error_by_service"](spark, sf_dir)
