@@ -611,7 +611,7 @@ def _(s, d):
 @register("c3_merge_by_trace", "SELECT event_id FROM kept", KEPT)
 def _(s, d):
     target = _shared(s, "merged")
-    mt.compact_table(s, _root(s, d), target, spans=True, files_per_hour=2, level=mt.zstd_level(1000))
+    mt.compact_table(s, _root(s, d), target, spans=True, files_per_hour=2, level=mt.zstd_level(1))
     return s.read.parquet(target).select(_id())
 
 
