@@ -14,13 +14,16 @@ proportional budgets, then the full Hamming check of that half at `MAX_BITS`
 set by shingle set.  Texts meet by chance in groups of nodes / 2 ** KEY_BITS,
 which suits up to some 10 ** 9 nodes; beyond that take longer and more keys.
 
-Exact copies are one node.  What is close under a key forms trees; only the
-links of a spanning forest are verified pair by pair and joined into
-components.  A tree of three or more nodes that still holds several components
-then has its shingle sets brought together, in pairs of blocks of
-`BLOCK_NODES` nodes, and compared there at once by a matrix product, of which
-at most one link to a node comes out.  So a class of thousands of near copies
-is never expanded into pairs, and no pair that meets goes untried.
+Exact copies are one node.  What is close under some key forms trees.  The
+first `FIRST` keys are looked at alone, so that under the others only links
+between different trees are given: a class of thousands of near copies meets
+again under nearly every key, and is one tree by then.  The links, which span
+the trees, are verified pair by pair and joined into components.  A tree of
+three or more nodes that still holds several components then has its shingle
+sets brought together, in pairs of blocks of `BLOCK_NODES` nodes, and compared
+there at once by a matrix product, of which at most one link to a node comes
+out.  So a class of thousands of near copies is never expanded into pairs, and
+no pair that meets goes untried.
 
 Defined results: null texts and texts without words are near copies of each
 other; texts of fewer than `WIDTH` words are one shingle; texts that differ in
@@ -39,17 +42,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .simhash import components, viable_boxes, whole_groups
+from .simhash import _with_least, components, viable_boxes, whole_groups
 from .storage import BROADCAST_IDS, drop_rows, fresh, materialise, python_ready
 from .vocab import resident
 
 WIDTH, SIMILARITY = 5, 0.8
 WORDS64 = 4
 KEY_BITS, TABLES = 18, 96
+#: Keys that are looked at first, to know the trees before the others are.
+FIRST = 8
 #: Of the first 128 bits: how many may differ, and the segments of the chain test.
 MAX_BITS, SEGMENTS = 30, 8
 #: Nodes of a group up to which all its pairs are looked at at once.
 ALL_PAIRS = 24
+#: Trees that a task keeps in mind, so as not to link them again.
+TREES = 200_000
 #: Nodes that lead from one part of a large group to the next.
 PIVOTS = 100
 HOT_ROWS = 50_000
@@ -119,18 +126,18 @@ def key_masks(tables: int = TABLES) -> list[tuple[int, ...]]:
     return [tuple((x := m >> 64 * k & ((1 << 64) - 1)) - (x >> 63 << 64) for k in range(WORDS64)) for m in masks]
 
 
-def _keyed(nodes: DataFrame) -> DataFrame:
-    """key, node, f0, f1: each node under each of its keys, dealt and sorted by key."""
-    masks = F.arrays_zip(*[F.array(*[F.lit(m[k]) for m in key_masks()]).alias(f"m{k}") for k in range(WORDS64)])
-    keys = F.transform(masks, lambda m, i: F.xxhash64(*[F.col(f).bitwiseAND(m[f"m{k}"]) for k, f in enumerate(PRINT)], i))
-    return nodes.select(F.explode(keys).alias("key"), "node", "f0", "f1").repartition("key").sortWithinPartitions("key", "node")
+def _keyed(nodes: DataFrame, start: int, end: int) -> DataFrame:
+    """key, node, tree, f0, f1: each node under each of some of its keys, dealt and sorted by key."""
+    masks = F.arrays_zip(*[F.array(*[F.lit(m[k]) for m in key_masks()[start:end]]).alias(f"m{k}") for k in range(WORDS64)])
+    keys = F.transform(masks, lambda m, i: F.xxhash64(*[F.col(f).bitwiseAND(m[f"m{k}"]) for k, f in enumerate(PRINT)], i + start))
+    return nodes.select(F.explode(keys).alias("key"), "node", "tree", "f0", "f1").repartition("key").sortWithinPartitions("key", "node")
 
 
 def _close(x: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether the nodes at i and j can be near copies: chain test, then the Hamming check."""
     width = 2 * 64 // SEGMENTS
     boxes = []
-    for half in (2, 3):
+    for half in (3, 4):
         diff = x[half][i] ^ x[half][j]
         boxes += [np.bitwise_count((diff >> (k * width)) & ((1 << width) - 1)).astype(np.int16) for k in range(SEGMENTS // 2)]
     ok = viable_boxes(boxes, MAX_BITS)
@@ -138,16 +145,15 @@ def _close(x: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _forest(x: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(member, the node that found it, the root of its tree) along a spanning forest of the close pairs among the rows `at`.
+def _forest(x: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(member, the node that found it) along a spanning forest of the close pairs among the rows `at`.
 
     Rows are in the order of their nodes and the least one looks first, so the
     same few nodes lead a class under most keys and the links repeat.
     """
-    left, members, parents, roots = at, [], [], []
+    left, members, parents = at, [], []
     while len(left) > 1:
-        root, left = left[0], left[1:]
-        queue = [root]
+        queue, left = [left[0]], left[1:]
         while queue and len(left):
             k = queue.pop(0)
             near = _close(x, np.full(len(left), k), left)
@@ -156,50 +162,48 @@ def _forest(x: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray
                 queue.extend(found)
                 members.append(found)
                 parents.append(np.full(len(found), k))
-                roots.append(np.full(len(found), root))
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *members]), np.concatenate([none, *parents]), np.concatenate([none, *roots])
+    return np.concatenate([none, *members]), np.concatenate([none, *parents])
 
 
-def _forest_of_pairs(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same from a list of the close pairs."""
-    root: dict[int, int] = {}
+class Trees:
+    """Which trees a task has linked already."""
 
-    def find(k: int) -> int:
-        while (up := root.setdefault(k, k)) != k:
-            root[k] = k = root.setdefault(up, up)
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, k: int) -> int:
+        while (up := self.up.setdefault(k, k)) != k:
+            self.up[k] = k = self.up.setdefault(up, up)
         return k
 
-    links = []
-    for a, b in zip(i.tolist(), j.tolist()):
-        low, high = sorted((find(a), find(b)))
-        if low != high:
-            root[high] = low
-            links.append((a, b))
-    a, b = np.array(links, dtype=np.int64).reshape(-1, 2).T
-    # Each link's tree; with one node more than links, the tree's root stands for that node.
-    return b, a, np.array([find(k) for k in b.tolist()], dtype=np.int64)
+    def joins(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the links between trees i and j, taken in turn, join two that nothing before has."""
+        if len(self.up) > TREES:
+            self.up.clear()
+        new = i != j
+        for k in np.flatnonzero(new).tolist():
+            a, b = self.find(int(i[k])), self.find(int(j[k]))
+            self.up[max(a, b)] = min(a, b)
+            new[k] = a != b
+        return new
 
 
-PAIR_SCHEMA = "a long, b long, key long"
+PAIR_SCHEMA = "a long, b long, close boolean"
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Links of spanning forests (a, b, null) within the groups of a stream sorted by key, and the nodes (node, null, tree) of trees of three or more."""
-
-    def told(x: list[np.ndarray], member: np.ndarray, parent: np.ndarray, root: np.ndarray, whole: bool = False) -> Iterator[pa.RecordBatch]:
-        a, b = x[1][member], x[1][parent]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
-        if whole:  # a part of a group: its trees can go on in the next part, so the group counts as one
-            node, tree = x[1], x[0]
-        else:
-            trees, size = np.unique(root, return_counts=True)
-            large = np.isin(root, trees[size > 1])
-            rows = np.unique(np.concatenate([member[large], parent[large]]))
-            of = dict(zip(member[large].tolist(), root[large].tolist())) | dict(zip(parent[large].tolist(), root[large].tolist()))
-            tree_row = np.array([of[r] for r in rows.tolist()], dtype=np.int64)
-            node, tree = x[1][rows], _mixed((x[0][tree_row] ^ (x[1][tree_row] << 1)).view(np.uint64)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(tree)], ["a", "b", "key"])
+    """Links of close nodes of different trees within the groups of a stream sorted by key, enough to join the trees.
+
+    A group of more than `limit` rows is looked at in parts, of which not every
+    pair meets; its nodes become one tree by links that are not close.
+    """
+    trees = Trees()
+
+    def told(x: list[np.ndarray], i: np.ndarray, j: np.ndarray, close: bool = True) -> pa.RecordBatch:
+        new = trees.joins(x[2][i], x[2][j])
+        a, b = x[1][i[new]], x[1][j[new]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), close))], ["a", "b", "close"])
 
     pivots: list[np.ndarray] | None = None
     for x, part in whole_groups(batches, limit):
@@ -207,22 +211,21 @@ def _pairs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordB
             same = pivots is not None and pivots[0][0] == x[0][0]
             x = [np.r_[p, c] for p, c in zip(pivots, x)] if same else x
             found = _forest(x, np.arange(len(x[0])))
-            yield from told(x, *found, whole=True)
-            lead = np.setdiff1d(np.arange(len(x[0])), found[0])[:PIVOTS]
-            pivots = [c[lead] for c in x]
+            yield told(x, *found)
+            lead = np.setdiff1d(np.arange(len(x[0])), found[0])
+            yield told(x, lead, np.zeros(len(lead), np.int64), False)
+            pivots = [c[lead[:PIVOTS]] for c in x]
             continue
         first = np.flatnonzero(np.r_[True, x[0][1:] != x[0][:-1]])
         size = np.diff(np.r_[first, len(x[0])])
-        close = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for n in np.unique(size[(size > 1) & (size <= ALL_PAIRS)]).tolist():
             own = first[size == n][:, None]
             one, two = np.triu_indices(n, 1)
             i, j = (own + one).ravel(), (own + two).ravel()
-            ok = _close(x, i, j)
-            close.append((i[ok], j[ok]))
-        yield from told(x, *_forest_of_pairs(*(np.concatenate(side) for side in zip(*close))))
+            ok = (x[2][i] != x[2][j]) & _close(x, i, j)
+            yield told(x, i[ok], j[ok])
         for s, n in zip(first[size > ALL_PAIRS].tolist(), size[size > ALL_PAIRS].tolist()):
-            yield from told(x, *_forest(x, np.arange(s, s + n)))
+            yield told(x, *_forest(x, np.arange(s, s + n)))
 
 
 def joining_links(nodes: np.ndarray, roots: np.ndarray, sets: pa.ListArray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
@@ -257,11 +260,17 @@ def joining_links(nodes: np.ndarray, roots: np.ndarray, sets: pa.ListArray, simi
     return nodes[i], nodes[j]
 
 
+def _several(trees: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, node, root, m: the nodes of trees of three or more that hold several components, and how many blocks each tree has."""
+    named = materialise(trees.join(roots, "node", "left").select(F.col("tree").alias("a"), "node", F.coalesce("root", "node").alias("root")), "named")
+    sizes = named.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high AND n > 2")
+    sizes = materialise(sizes.select("a", "n", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("m")), "sizes")
+    return materialise(_with_least(named, sizes, named.count()).select(F.col("a").alias("key"), "node", "root", "m"), "several")
+
+
 def _in_blocks(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) across the components of large groups (key, node, root)."""
-    sizes = large.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    sizes = sizes.select("key", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("m"))
-    dealt = large.join(sizes, "key").withColumn("p", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    """Links (a, b) across the components of large trees (key, node, root, m)."""
+    dealt = large.withColumn("p", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
     dealt = dealt.select("key", "node", "root", "p", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("q"))
     dealt = dealt.select("key", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "node", "root").join(sets, "node")
 
@@ -306,14 +315,17 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
 
     rows = materialise(sketches(df, id_col, text_col, width), "sketches")
     nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.min(f).alias(f) for f in PRINT]), "nodes")
-    found = materialise(_keyed(nodes).mapInArrow(candidates, PAIR_SCHEMA), "candidates")
-    pairs = materialise(found.filter("b IS NOT NULL").select("a", "b").distinct(), "pairs")
+    found = materialise(_keyed(nodes.withColumn("tree", F.col("node")), 0, FIRST).mapInArrow(candidates, PAIR_SCHEMA), "candidates")
+    trees = components(found.select("a", "b"))
+    known = materialise(nodes.join(trees.withColumnRenamed("root", "tree"), "node", "left").withColumn("tree", F.coalesce("tree", "node")), "known")
+    more = materialise(_keyed(known, FIRST, TABLES).mapInArrow(candidates, PAIR_SCHEMA), "candidates")
+    trees = components(trees.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")))
+    pairs = materialise(found.unionByName(more).filter("close").select("a", "b").distinct(), "pairs")
     sets = shingle_sets(df, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), id_col, text_col, width)
     links = materialise(verified(pairs, sets, similarity), "similar")
     roots = components(links)
-    large = found.filter("b IS NULL").select(F.col("a").alias("node"), "key")
+    large = _several(trees.withColumnRenamed("root", "tree"), roots)
     if not large.isEmpty():
-        large = materialise(large.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "large")
         sets = shingle_sets(df, nodes, large.select("node"), id_col, text_col, width)
         more = materialise(_in_blocks(large, sets, similarity), "joining")
         if not more.isEmpty():
